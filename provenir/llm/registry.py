@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
 from .packing import op5_packing
+from .sharding import op8_sharding
 from .simhash import op3_simhash
+from .topk import OP7_SQL, op7_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op7_topk": op7_topk,
+    "op8_sharding": op8_sharding,
+}
+ORACLES: dict[str, str] = {
+    "op7_topk": OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
