@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
+from .fingerprints import op9_fingerprints
 from .packing import op5_packing
 from .sharding import op8_sharding
 from .simhash import op3_simhash
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_topk": op7_topk,
     "op8_sharding": op8_sharding,
+    "op9_fingerprints": op9_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op7_topk": OP7_SQL,
