@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe
 from .fingerprints import op9_fingerprints
 from .packing import op5_packing
+from .quality import op10_quality
 from .sharding import op8_sharding
 from .simhash import op3_simhash
 from .topk import OP7_SQL, op7_topk
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_topk": op7_topk,
     "op8_sharding": op8_sharding,
     "op9_fingerprints": op9_fingerprints,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
     "op7_topk": OP7_SQL,
