@@ -14,10 +14,14 @@ from .sharding import op8_sharding
 from .simhash import op3_simhash
 from .topk import OP7_SQL, op7_topk
 from .toxicity import op1_toxicity
+from .warc import op2_warc
+from .wrappers import op4_wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_wrappers": op4_wrappers,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_topk": op7_topk,
