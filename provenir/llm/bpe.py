@@ -23,8 +23,14 @@ from .common import table
 
 #: The pattern of the public byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Marks that stand for themselves behind letters.
+MARKS = frozenset(".,;:!?)")
+#: Below this character str.isalpha and the pattern agree on what a letter is in all versions.
+SURE = "\u0530"
 #: Chunks that a worker remembers; beyond it the memory starts anew.
-CACHE = 300_000
+CACHE = 1_200_000
+#: Texts that are encoded together.
+AT_ONCE = 128
 #: Characters of a text that are handled at a time.
 SPAN = 1 << 20
 
@@ -66,22 +72,35 @@ class Codec:
             self.bytes_of[i] = bytes(byte[c] for c in word) if all(c in byte for c in word) else word.encode()
         self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
         self.pieces = regex.compile(PATTERN).findall
-        self.chunks: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        of_chunk = [self.pieces(c) for c in chunks]
-        flat = list(dict.fromkeys(p for ps in of_chunk for p in ps))
-        known: dict[str, bytes] = {}
-        lists = [flat[at : at + 256] for at in range(0, len(flat), 256)]
+        self.led: dict[str, bytes] = {}  # what follows a blank, to the ids of blank and all
+        self.bare: dict[str, bytes] = {}  # chunks as they stand
+
+    def _learn(self, memory: dict[str, bytes], new: set[str], lead: str) -> None:
+        if len(memory) + len(new) > CACHE:
+            memory.clear()
+        of_chunk: dict[str, tuple[str, ...] | list[str]] = {}
+        for name in new:  # letters, or letters and a mark, need no pattern
+            if name.isalpha() and max(name) < SURE:
+                of_chunk[name] = (lead + name,)
+            elif name[-1:] in MARKS and name[:-1].isalpha() and max(name) < SURE:
+                of_chunk[name] = (lead + name[:-1], name[-1])
+            else:
+                of_chunk[name] = self.pieces(lead + name)
+        at_lead = len(lead)
+        known: dict[str, bytes | None] = dict.fromkeys(p for ps in of_chunk.values() for p in ps)
+        if lead:
+            known = {p: memory.get(p[at_lead:]) if p[0] == lead and len(p) > 1 else None for p in known}
+        flat = [p for p, ids in known.items() if ids is None]
+        lists = [flat[at : at + 512] for at in range(0, len(flat), 512)]
         for own, e in zip(lists, self.model.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
-            ends = np.cumsum([len(p.encode()) for p in own])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, own)), np.int64, len(own)))
             cut = np.searchsorted(np.cumsum(self.length_of[ids]), ends) + 1
             data, at = ids.astype("<u4").tobytes(), 0
             for p, to in zip(own, (4 * cut).tolist()):
                 known[p], at = data[at:to], to
-        for chunk, ps in zip(chunks, of_chunk):
-            self.chunks[chunk] = b"".join(map(known.__getitem__, ps))
+        for name, ps in of_chunk.items():
+            memory[name] = known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps))
 
     def _spans(self, text: str) -> Iterator[str]:
         at = 0
@@ -93,23 +112,37 @@ class Codec:
             at = to.end()
         yield text[at:] if at else text
 
+    def _looked_up(self, memory: dict[str, bytes], chunks: list[str], lead: str) -> bytes:
+        out = []
+        for at in range(0, len(chunks), CACHE):
+            part = chunks[at : at + CACHE]
+            found = list(map(memory.get, part))
+            if None in found:
+                self._learn(memory, set(part).difference(memory), lead)
+                found = list(map(memory.get, part))
+                if None in found:  # the memory was emptied: all of this part anew, which fits
+                    self._learn(memory, set(part).difference(memory), lead)
+                    found = list(map(memory.get, part))
+            out += found
+        return b"".join(out)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each whole text as little-endian unsigned 32-bit integers."""
+        plain = [(text or "").split(" ") if len(text or "") <= SPAN and not re.search(r"\s \s|\s $", text or "") else None for text in texts]
+        unseen = set().union(*[set(words[1:]).difference(self.led) for words in plain if words])
+        if 0 < len(unseen) <= CACHE - len(self.led):  # what is new in all of them goes to the library at once
+            self._learn(self.led, unseen, " ")
+        return [self.encode(text) if words is None else self._looked_up(self.bare, [words[0]], "") + self._looked_up(self.led, words[1:], " ") for text, words in zip(texts, plain)]
+
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers."""
         out = []
         for span in self._spans(text or ""):
             if re.search(r"\s \s|\s $", span):  # a run of white space that a cut at its blanks would tear
-                chunks = self.pieces(span)
+                out.append(self._looked_up(self.bare, self.pieces(span), ""))
             else:
                 first, *rest = span.split(" ")
-                chunks = [first, *[" " + x for x in rest]]
-            for at in range(0, len(chunks), CACHE // 2):
-                part = chunks[at : at + CACHE // 2]
-                new = [c for c in dict.fromkeys(part) if c not in self.chunks]
-                if len(self.chunks) + len(new) > CACHE:
-                    self.chunks.clear()
-                    new = list(dict.fromkeys(part))
-                self._learn(new)
-                out.append(b"".join(map(self.chunks.__getitem__, part)))
+                out += [self._looked_up(self.bare, [first], ""), self._looked_up(self.led, rest, " ")]
         return b"".join(out)
 
     def decode_bytes(self, ids: bytes) -> bytes:
@@ -143,10 +176,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [own.encode(t) for t in texts]
+                ids = own.encode_all(texts)
                 places = [own.offsets(t, i).astype("<i4").tobytes() for t, i in zip(texts, ids)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(places, pa.binary())], ["doc_id", "ids", "offsets"])
 
@@ -174,13 +207,14 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1):
-                ids = own.encode(text.as_py())
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                n, a, b = [], [], []
+                for ids in own.encode_all(part.column(1).to_pylist()):
+                    n.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    b.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
