@@ -197,7 +197,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, known: DataFrame | None = N
 
     def fit(texts: list[str | None], y: np.ndarray) -> np.ndarray:
         index = index_vectors()
-        x = np.array([pooled(t, index, vectors.value) for t in texts], np.float64).reshape(len(texts), -1)
+        x = np.array([pooled(t, index, vectors.value) for t in texts], np.float64).reshape(len(texts), 3 * WIDTH + 3)
         return flatten(fit_network(x, y))
 
     net = spark.sparkContext.broadcast(unflatten(fitted(sampled_labels(docs if known is None else known, labels, SAMPLE, "quality", ~held_out()), fit)))
@@ -206,7 +206,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, known: DataFrame | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
         for batch in batches:
-            x = np.array([pooled(t.as_py(), index, vectors.value) for t in batch.column(batch.num_columns - 1)], np.float64).reshape(batch.num_rows, -1)
+            x = np.array([pooled(t.as_py(), index, vectors.value) for t in batch.column(batch.num_columns - 1)], np.float64).reshape(batch.num_rows, 3 * WIDTH + 3)
             p = score(x, net.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
 

@@ -104,6 +104,8 @@ def fitted(sample: DataFrame, fit) -> np.ndarray:
             yield pd.DataFrame({"at": [at], "w": [flat[at : at + (1 << 18)].tobytes()]})
 
     parts = sample.coalesce(1).mapInPandas(run, "at long, w binary").collect()  # a few MB, whatever the input
+    if not parts:  # no labelled row, no task
+        return fit([], np.empty(0)).astype(np.float32)
     return np.frombuffer(b"".join(bytes(r["w"]) for r in sorted(parts, key=lambda r: r["at"])), np.float32)
 
 
