@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import all modules that register queries."""
-    from .plans import aggregates, dedup, joins, ledger, pages, retrieval, rules, text, windows  # noqa: F401
+    from .plans import aggregates, dedup, joins, ledger, pages, retrieval, rules, shortlist, text, windows  # noqa: F401
 
 
 load()
