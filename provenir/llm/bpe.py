@@ -113,18 +113,15 @@ class Codec:
         yield text[at:] if at else text
 
     def _looked_up(self, memory: dict[str, bytes], chunks: list[str], lead: str) -> bytes:
-        out = []
-        for at in range(0, len(chunks), CACHE):
-            part = chunks[at : at + CACHE]
-            found = list(map(memory.get, part))
-            if None in found:
-                self._learn(memory, set(part).difference(memory), lead)
-                found = list(map(memory.get, part))
-                if None in found:  # the memory was emptied: all of this part anew, which fits
-                    self._learn(memory, set(part).difference(memory), lead)
-                    found = list(map(memory.get, part))
-            out += found
-        return b"".join(out)
+        if len(chunks) > CACHE:
+            return b"".join(self._looked_up(memory, chunks[at : at + CACHE], lead) for at in range(0, len(chunks), CACHE))
+        found = list(map(memory.get, chunks))
+        for _ in range(2):  # again if learning has emptied the memory: then these chunks fit
+            if None not in found:
+                break
+            self._learn(memory, set(chunks).difference(memory), lead)
+            found = list(map(memory.get, chunks))
+        return b"".join(found)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""

@@ -40,7 +40,7 @@ def best_bin(length: np.ndarray, count: np.ndarray, value: np.ndarray, capacity:
             size, worth = n * int(length[k]), n * value[k]
             with_it = best[: capacity + 1 - size] + worth
             better = with_it > best[size:]
-            best[size:] = np.where(better, with_it, best[size:])
+            np.maximum(with_it, best[size:], out=best[size:])
             taken.append(better)
             items.append((k, n, size))
             left -= n
