@@ -104,18 +104,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.substring(F.col("text"), F.lit(1), length - half), F.substring(F.col("next_text"), F.lit(1), half))
     both = near.withColumn("edited", F.when(~F.col("extra"), edited))
     variants = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("v")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("v")))
-    each = both.select("bucket", "rn", "doc_id", "extra", F.explode(variants).alias("x")).select("bucket", "rn", "doc_id", "extra", "x.which", F.col("x.v").alias("text")).where(F.col("text").isNotNull())
-    each = each.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("sha", F.when(F.col("which") == 1, F.sha2(F.col("text").cast("binary"), 256)))
-    keys = ["bucket", "rn", "which", "doc_id", "extra", "n_chars", "sha"]
-    found = stored(samples(each, keys, n=n), "samples")
-    one = found.groupBy("bucket", "rn").agg(
-        F.min("doc_id").alias("doc_id"),
-        F.first("extra").alias("extra"),
-        F.max(F.when(F.col("which") == 0, F.col("n_chars"))).alias("n_chars"),
-        F.max("sha").alias("edited_sha256"),
-        F.first(F.when(F.col("which") == 0, F.col("s")), ignorenulls=True).alias("s"),
-        F.first(F.when(F.col("which") == 1, F.col("s")), ignorenulls=True).alias("e"),
-    )
+    each = both.select("bucket", "rn", F.explode(variants).alias("x")).select("bucket", "rn", "x.which", F.col("x.v").alias("text")).where(F.col("text").isNotNull())
+    found = samples(each, ["bucket", "rn", "which"], n=n)
+    both_samples = found.groupBy("bucket", "rn").agg(*[F.first(F.when(F.col("which") == k, F.col("s")), ignorenulls=True).alias(c) for k, c in ((0, "s"), (1, "e"))])
+    # what else is asked of each row comes from the same exchange, and is kept out of the keys of all words
+    about = both.select("bucket", "rn", "doc_id", "extra", length.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    one = stored(about.join(both_samples, ["bucket", "rn"]), "samples")
     after = Window.partitionBy("bucket").orderBy("rn")
     paired = one.withColumn("next_s", F.lead("s").over(after)).where(~F.col("extra"))
     return paired.select("doc_id", "n_chars", "edited_sha256", _text_form("s").alias("fingerprint"), _text_form("e").alias("edited_fingerprint"), likeness("s", "e", n).alias("near_edited"), likeness("s", "next_s", n).alias("near_next"))
