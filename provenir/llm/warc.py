@@ -9,6 +9,7 @@ committed index names are ever read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_dir, stored, table
 
-#: Bytes of a file, of one read, and of a gap that is read over rather than skipped.
+#: Compressed bytes of a file, of one read, and of a gap that is read over rather than skipped.
 FILE, READ, GAP = 64 << 20, 8 << 20, 64 << 10
 #: Payloads from so many bytes on are stored once (fixed by the archive's users).
 REVISIT_FROM = 0
@@ -98,10 +99,10 @@ def write(records: DataFrame, folder: str) -> DataFrame:
                     if out is None or at >= FILE:
                         if out is not None:
                             out.close()
-                        name, at = f"{uuid.uuid4().hex}.warc", 0
-                        out = store.open_output_stream(f"{root}/{name}")
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
                     own = digest(payload)
-                    data = record(page_id, kind, refers, url, payload, own)
+                    data = gzip.compress(record(page_id, kind, refers, url, payload, own), 6, mtime=0)  # a member for each record, as usual
                     out.write(data)
                     rows.append((page_id, kind, refers, url, len(payload), own, name, at, len(data)))
                     at += len(data)
@@ -139,7 +140,7 @@ def read(index: DataFrame, folder: str, chosen: Column | None = None, payloads:
                 opened, source = group[0][0], store.open_input_file(f"{root}/{group[0][0]}")
             start = group[0][1]
             data = source.read_at(group[-1][1] + group[-1][2] - start, start)
-            frame = pd.DataFrame([parsed(data[o - start : o - start + n]) for _, o, n in group], columns=names)
+            frame = pd.DataFrame([parsed(gzip.decompress(data[o - start : o - start + n])) for _, o, n in group], columns=names)
             return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
         group: list[tuple[str, int, int]] = []
