@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for every row (ids can be null or occur twice)."""
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "keyed")
+
+
+def first_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each component of ``groups`` (row, doc_id, component) one row of ``rows``: the smallest id, null last."""
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select("best.row")
+    return rows.join(stored(best, "kept-rows"), "row", "left_semi")
