@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import first_of_each, keyed, stored, table
 from .components import components
 
 SEED = 42
@@ -255,13 +255,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
 
 
 def representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays."""
-    found = stored(near_duplicates(docs, distance).select("doc_id", "component_id"), "near-duplicates")
-    keep = found.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    left = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` without near-duplicates: of each group one row, that with the smallest id (null last)."""
+    rows = keyed(docs)
+    found = near_duplicates(rows, distance, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    return first_of_each(rows, found.join(rows.select("row", "doc_id"), "row")).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,11 @@ def test_documents(spark):
     kept = sorted(r.doc_id for r in simhash.representatives(df.where("doc_id is not null")).collect())
     assert 2 in kept and 8 not in kept and 7 in kept and len(kept) == len(set(kept))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_representatives_of_repeated_and_null_ids(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    rows = [(None, one), (None, two), (None, two), (4, three), (4, four), (3, three), (None, four), (4, four)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.representatives(df).collect()]
+    assert sorted(kept, key=str) == sorted([(None, one), (None, two), (3, three), (4, four)], key=str)
