@@ -20,15 +20,15 @@ from .common import stored, table
 SCALE, K, EVERY = 64, 20, 20
 #: Candidates of a block and queries of a group.
 BLOCK, GROUP = 16384, 256
-#: Quantised components beyond this are no vector's: such rows take no part, as those with infinite ones.
-MOST = 1 << 24
+#: Products up to this bound go through the slices; beyond it scores are added in Python's integers.
+MOST = 1 << 62
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, keep: list[str] | None = None) -> DataFrame:
     """(vec_id, dims, q) and the columns ``keep``: components as floor(scale * x); rows without an id or a whole finite vector are left out."""
     x = F.col(vector_col).cast("array<double>")
-    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) * scale < MOST))
-    q = F.transform(x, lambda v: F.floor(v * scale).cast("int"))
+    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    q = F.transform(x, lambda v: F.when(F.abs(v) * scale >= float(1 << 63), F.raise_error(F.lit("a quantised component does not fit a long"))).otherwise(F.floor(v * scale)).cast("long"))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(whole).select(F.col(id_col).cast("long").alias("vec_id"), F.size(vector_col).alias("dims"), q.alias("q"), *(keep or []))
 
 
@@ -93,6 +93,19 @@ class Slices:
         return np.flatnonzero(np.unpackbits((sure | still).view(np.uint8), bitorder="little"))
 
 
+def _ints(packed: bytes, n: int, dims: int) -> np.ndarray:
+    """Packed vectors: four bytes a component where that holds all of them, else eight."""
+    return np.frombuffer(packed, np.int32 if len(packed) == 4 * n * dims else np.int64).astype(np.int64).reshape(n, dims)
+
+
+def _wide_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact scores of components of any size; a score that does not fit a long is an error."""
+    scores = rows.astype(object) @ query.astype(object)
+    if max(map(abs, scores.tolist())) >= 1 << 63:
+        raise OverflowError("a score does not fit a long")
+    return scores.astype(np.int64)
+
+
 def _meet(k: int):
     """A block against a group of queries: the k best of the block for each query."""
 
@@ -100,14 +113,19 @@ def _meet(k: int):
         if not len(block) or not len(group):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         dims, ids = int(block["dims"].iloc[0]), np.frombuffer(block["ids"].iloc[0], np.int64)
-        index = Slices(np.frombuffer(block["rows"].iloc[0], np.int32).astype(np.int64).reshape(len(ids), dims))
+        rows, queries = _ints(block["rows"].iloc[0], len(ids), dims), _ints(group["rows"].iloc[0], len(group["ids"].iloc[0]) // 8, dims)
+        largest = max(abs(int(rows.min())), abs(int(rows.max())))
+        index = Slices(rows) if largest < MOST else None
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        queries = np.frombuffer(group["rows"].iloc[0], np.int32).astype(np.int64).reshape(-1, dims)
         for own, query in zip(np.frombuffer(group["ids"].iloc[0], np.int64).tolist(), queries):
-            at = index.best(query, min(index.n, k + int(np.count_nonzero(ids == own))))
-            at = at[ids[at] != own]
-            score = index.rows[at] @ query
-            order = np.lexsort((ids[at], -score))[:k]
+            if index is None or largest * sum(map(abs, query.tolist())) >= MOST:
+                at = np.flatnonzero(ids != own)
+                score = _wide_scores(rows[at], query) if len(at) else np.empty(0, np.int64)
+            else:
+                at = index.best(query, min(index.n, k + int(np.count_nonzero(ids == own))))
+                at = at[ids[at] != own]
+                score = rows[at] @ query
+            order = np.lexsort((ids[at], ~score))[:k]  # ~ as the least long has no negative
             found.append((own, ids[at][order], score[order]))
         return pd.DataFrame({"query_id": np.repeat([x[0] for x in found], [len(x[1]) for x in found]).astype(np.int64), "vec_id": np.concatenate([x[1] for x in found]), "score": np.concatenate([x[2] for x in found])})
 
@@ -120,7 +138,9 @@ def _packed(rows: DataFrame, key: list[str]) -> DataFrame:
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
         own = {c: [frame[c].iloc[0]] for c in key}
-        return pd.DataFrame({**own, "ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "rows": [np.array(frame["q"].tolist(), np.int32).tobytes()]})
+        q = np.array(frame["q"].tolist(), np.int64)
+        narrow = q.min() >= -(1 << 31) and q.max() < 1 << 31
+        return pd.DataFrame({**own, "ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "rows": [q.astype(np.int32 if narrow else np.int64).tobytes()]})
 
     return rows.groupBy(*key).applyInPandas(pack, "dims int, " + ", ".join(f"{c} long" for c in key[1:]) + ", ids binary, rows binary")
 
@@ -131,8 +151,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     Score: the inner product of the quantised vectors; ties go to the smaller vec_id, equal rows of
     one id rank side by side. Rows with the query's own id are no candidates of it; repeated query
     rows are one query (of equal ids with different vectors, the least vector). Vectors are compared
-    only with those of their own length. Null vectors, those with null, non-finite or immense
-    components and rows without id take no part. No rows give no rows.
+    only with those of their own length. Null vectors, those with null or non-finite components and
+    rows without id take no part; a component or score that fits no long is an error. No rows give no rows.
     """
     rows = stored(quantised(vectors.withColumn("_query", F.coalesce(is_query, F.lit(False))), id_col, vector_col, keep=["_query"]).where("dims > 0").withColumn("row", F.monotonically_increasing_id()), "quantised")
     # a row for each vector length: how many rows and how many queries

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from provenir.llm import topk
@@ -39,3 +40,21 @@ def test_against_brute_force(spark, monkeypatch):
     few = df.where("vec_id < 5")
     assert sorted(map(tuple, topk.top_k(few, F.col("vec_id") % 20 == 0).collect())) == sorted(brute([r for r in rows if r[0] is not None and r[0] < 5], 20))
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_immense_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.integers(-3, 4, 3) * s).tolist()) for i, s in enumerate([0.5] * 10 + [2.0**18] * 10 + [2.0**20] * 10 + [2.0**26] * 10)]
+    rows.append((41, [2.0**26, -(2.0**24), 1.0]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 30)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 30))
+    wide = [(0, [2.0**56, 0.0]), (1, [0.0, 2.0**56]), (2, [1.0 / 64, -0.5])]
+    got = topk.top_k(spark.createDataFrame(wide, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 30)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(wide, 30))
+
+
+def test_what_fits_no_long_is_an_error(spark):
+    for rows in ([(0, [2.0**40]), (1, [2.0**40])], [(0, [1.0]), (1, [2.0**60])]):
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
