@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from provenir.llm import sharding
 
 
@@ -25,7 +27,7 @@ def test_near_equal_bytes_and_whole_groups(spark, monkeypatch):
     out = sharding.shards(df).collect()
     sizes = held([(r[0], r[1]) for r in rows], out)
     mean = sum(sizes.values()) / 16
-    assert len(sizes) == 16 and max(abs(v - mean) for v in sizes.values()) < 0.1 * mean
+    assert len(sizes) == 16 and max(abs(v - mean) for v in sizes.values()) < 0.02 * mean
     pairs = {}
     for r in out:
         if r.doc_id is not None and r.doc_id >= 9000:
@@ -33,6 +35,21 @@ def test_near_equal_bytes_and_whole_groups(spark, monkeypatch):
     assert all(len(s) == 1 for s in pairs.values())
 
 
+@pytest.mark.parametrize("n", [200, 1000, 10000])
+def test_groups_that_fit_a_shard_stay_whole(spark, n):
+    rnd = random.Random(n)
+    rows = [(i, "y" * rnd.randint(1, 300) + (str(i) if i % 5 else "copy"), "a", f"s{rnd.randint(0, 9)}") for i in range(n)]
+    rows += [(n + i, "a group of three quarters of a shard", "b", "s1") for i in range(3 * sum(len(r[1]) + 1 for r in rows) // 64 // 37)]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    sizes = held([(r[0], r[1]) for r in rows], out)
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and max(abs(v - mean) for v in sizes.values()) < 0.02 * mean
+    shards_of = {}
+    for r in out:
+        shards_of.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    assert all(len(s) == 1 for s in shards_of.values())
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(1, "one"), (2, None)], "doc_id long, text string")
     held([(1, "one"), (2, None)], sharding.shards(df).collect())
