@@ -63,13 +63,19 @@ class Codec:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path) if path.endswith(".json") else _from_ranks(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: A file of ranks has no special tokens; with those of a JSON file the whole text goes to the library as it stands.
+        self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
+        self.whole = Tokenizer.from_file(path) if self.special else None
+        self.model.encode_special_tokens = True
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         byte = {c: b for b, c in enumerate(byte_table())}
         words = self.model.get_vocab(with_added_tokens=False)
         self.bytes_of = [b""] * (max(words.values()) + 1)
         for word, i in words.items():
             self.bytes_of[i] = bytes(byte[c] for c in word) if all(c in byte for c in word) else word.encode()
+        for word, i in self.special.items():
+            self.bytes_of += [b""] * (i + 1 - len(self.bytes_of))
+            self.bytes_of[i] = word.encode()
         self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
         self.pieces = regex.compile(PATTERN).findall
         self.led: dict[str, bytes] = {}  # what follows a blank, to the ids of blank and all
@@ -125,14 +131,19 @@ class Codec:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""
-        plain = [(text or "").split(" ") if len(text or "") <= SPAN and not re.search(r"\s \s|\s $", text or "") else None for text in texts]
+        plain = [(text or "").split(" ") if len(text or "") <= SPAN and not re.search(r"\s \s|\s $", text or "") and not self._has_special(text or "") else None for text in texts]
         unseen = set().union(*[set(words[1:]).difference(self.led) for words in plain if words])
         if 0 < len(unseen) <= CACHE - len(self.led):  # what is new in all of them goes to the library at once
             self._learn(self.led, unseen, " ")
         return [self.encode(text) if words is None else self._looked_up(self.bare, [words[0]], "") + self._looked_up(self.led, words[1:], " ") for text, words in zip(texts, plain)]
 
+    def _has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers."""
+        if self._has_special(text or ""):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for span in self._spans(text or ""):
             if re.search(r"\s \s|\s $", span):  # a run of white space that a cut at its blanks would tear
@@ -218,6 +229,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of all ``documents``; see ``digests``."""
     import public_tokenizers
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

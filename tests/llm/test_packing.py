@@ -63,12 +63,11 @@ def test_best_bin_is_exact():
 
 def test_pieces_and_places(spark):
     rnd = random.Random(1)
-    texts = [" ".join(rnd.choice(["one", "Zwei", "drei!", "x", "été"]) for _ in range(rnd.choice([1, 3, 50, 900, 5000]))) for _ in range(120)] + [None, "", "same", "same"]
+    texts = [" ".join(rnd.choice(["one", "Zwei", "drei!", "x", "été"]) for _ in range(rnd.choice([1, 3, 50, 900, 5000]))) for _ in range(120)] + [None, "", "same", "same", "<|endoftext|>", "one <|endoftext|>two  <|endoftext|><|endoftext|>\n x", "<|endoftext| >"]
     rows = [(i if i != 7 else None, t, i) for i, t in enumerate(texts)] + [(3, texts[3], 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(5)
     out = [r.asDict() for r in packing.packed(df, PATH).collect()]
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     expected = []
     for i, t, _ in rows:
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 0]
