@@ -3,8 +3,10 @@ the probabilities of the categories before it. While fitting, these come from mo
 seen the row (out-of-fold), so that later models learn how far the earlier ones can be trusted.
 
 The labelled table has one mark, toxic or not. The categories before it in the chain are kinds of
-abuse with a seed list each; a labelled document belongs to one if it is marked and holds a seed.
-The last category is the mark itself, whatever its cause and language.
+abuse that the labelled documents themselves show: the terms that mark toxic documents are grouped
+by the documents they occur in, and a document belongs to a kind if it is marked and holds a term of
+that group. No list of words is given, so any language and script with labels has its kinds. The
+last category is the mark itself, whatever its cause.
 """
 
 from __future__ import annotations
@@ -13,24 +15,23 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textmodel import Hasher, Rows, fit_linear, scores, sigmoid
-
-#: Seeds of the categories (fixed values; common English words of abuse).
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "fool", "imbecile", "stupid", "dumb"),
-    "contempt": ("scum", "trash", "worthless", "pathetic", "vermin", "garbage"),
-    "obscene": ("disgusting", "filthy", "nasty", "crap", "damn"),
-}
-CHAIN = (*SEEDS, "toxic")
+from .textmodel import Hasher, Rows, fit_linear, fitted, off_expectation, sampled_labels, scores, sigmoid, with_columns, with_features
+
+#: Kinds of abuse that are told apart, before the mark itself.
+KINDS = 3
+CHAIN = (*(f"kind{k + 1}" for k in range(KINDS)), "toxic")
 #: At most so many labelled documents are learnt from.
 SAMPLE = 8000
 FEATURES, FOLDS, PREFIX = 1 << 18, 4, 5
+#: Features that reach the fit: the clearest ones of the sample, by deviations from their share.
+LIVE, CLEAR = 1 << 14, 2.0
+#: Terms that kinds are made of: so many deviations off, and at most so many.
+MARKER, MARKERS = 6.0, 512
 #: A document is toxic from this probability of the last category.
 REJECT = 0.5
 
@@ -45,15 +46,39 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(_SEEN([*found, *starts])) if found else np.empty(0, np.int64)
 
 
-def marks(text: str | None, toxic: int) -> list[int]:
-    found = set(_WORD.findall((text or "").lower()))
-    return [int(bool(toxic) and not found.isdisjoint(seeds)) for seeds in SEEDS.values()] + [int(bool(toxic))]
+def kinds(rows: Rows, toxic: np.ndarray) -> np.ndarray:
+    """Marks (rows x KINDS): the marker terms in KINDS groups by the toxic rows they stand in (spherical k-means).
+
+    The first centre is the clearest marker, each further one that which is least like those before.
+    """
+    out = np.zeros((rows.n, KINDS))
+    off = off_expectation(rows, toxic, FEATURES, np.ones(rows.n, bool))
+    marker = np.argsort(-off, kind="stable")[:MARKERS]
+    marker = marker[off[marker] >= MARKER]
+    if not len(marker):
+        return out
+    place = np.full(FEATURES, -1)
+    place[marker] = np.arange(len(marker))
+    held = (place[rows.at] >= 0) & (toxic[rows.row] > 0)
+    x = np.zeros((len(marker), rows.n), np.float32)
+    x[place[rows.at[held]], rows.row[held]] = 1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre = unit[:1]
+    while len(centre) < min(KINDS, len(marker)):
+        centre = np.concatenate([centre, unit[[int((unit @ centre.T).max(axis=1).argmin())]]])
+    for _ in range(12):
+        group = (unit @ centre.T).argmax(axis=1)
+        sums = np.array([unit[group == k].sum(axis=0) if (group == k).any() else centre[k] for k in range(len(centre))])
+        centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    for k in range(len(centre)):
+        out[:, k] = x[group == k].max(axis=0, initial=0)
+    return out
 
 
-def fit_chain(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
+def fit_chain(found: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Weights of all links, one after another (float32; see ``split_weights``)."""
-    rows = Rows([features(t) for t in texts])
-    y = np.array([marks(t, x) for t, x in zip(texts, toxic)], float).reshape(-1, len(CHAIN))
+    rows = Rows(found)
+    y = np.column_stack([kinds(rows, toxic), toxic]) if rows.n else np.zeros((0, len(CHAIN)))
     fold = np.arange(rows.n) % FOLDS
     before, out = np.zeros((rows.n, 0)), []
     for k in range(len(CHAIN)):
@@ -83,57 +108,46 @@ def predict(chain: list[np.ndarray], text: str | None) -> list[float]:
     return before
 
 
-def sampled_labels(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, mark: str = "toxic", allowed: F.Column | None = None) -> DataFrame:
-    """(text, mark) of at most ``most`` labelled documents, the same ones for the same table."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(mark).isNotNull())
-    if allowed is not None:
-        known = known.where(allowed)
-    known = known.groupBy("doc_id").agg(F.max(mark).alias("_mark"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("_text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("_text", "_mark")
-
+def clear_features(sample: DataFrame) -> DataFrame:
+    """``sample`` (doc_id, _mark, x) with the clearest features only, so that the fit's input is bounded."""
+    each = sample.select("_mark", F.explode("x").alias("f"))
+    share = sample.agg(F.coalesce(F.avg("_mark"), F.lit(0.0)).alias("p")).first()["p"]
+    counts = each.groupBy("f").agg(F.sum("_mark").alias("inside"), (F.count(F.lit(1)) * F.lit(share)).alias("expected"))
+    off = F.abs(F.col("inside") - F.col("expected")) / F.sqrt(F.col("expected") + 0.5)
+    live = np.array(sorted(r["f"] for r in counts.where(off > CLEAR).orderBy(off.desc(), "f").limit(LIVE).select("f").collect()), np.int32)  # LIVE numbers at most
 
-def fitted(sample: DataFrame, fit) -> np.ndarray:
-    """``fit(texts, marks)`` in one task over a bounded sample; the weights come back."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(frames)
-        both = pd.concat(held) if held else pd.DataFrame({"_text": [], "_mark": []})
-        flat = fit(both["_text"].tolist(), both["_mark"].to_numpy(float)).astype(np.float32)
-        for at in range(0, len(flat), 1 << 18):
-            yield pd.DataFrame({"at": [at], "w": [flat[at : at + (1 << 18)].tobytes()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.intersect1d(np.asarray(v, np.int32), live, assume_unique=True).tobytes() for v in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.binary())], ["doc_id", "_mark", "x"])
 
-    parts = sample.coalesce(1).mapInPandas(run, "at long, w binary").collect()  # a few MB, whatever the input
-    if not parts:  # no labelled row, no task
-        return fit([], np.empty(0)).astype(np.float32)
-    return np.frombuffer(b"".join(bytes(r["w"]) for r in sorted(parts, key=lambda r: r["at"])), np.float32)
+    return sample.mapInArrow(run, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, _mark double, x binary")
 
 
 def with_toxicity(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """All columns of ``docs``, the probability ``p_<category>`` of each link, and ``is_toxic``.
 
-    Learns from ``known`` (default: ``docs``) where ``labels`` has a mark. Null and empty texts get
-    the score of a text without words; every row is kept, repeated or not. Without any labelled
-    document all probabilities are one half and nothing counts as toxic.
+    Learns from ``known`` (default: ``docs``) where ``labels`` has a mark; see ``sampled_labels`` for
+    repeated ids. Null and empty texts get the score of a text without words; every row is kept,
+    repeated or not, and ties cannot arise. Columns of ``docs`` that are named like a new one give
+    way to it. Without any labelled document all probabilities are one half and nothing counts as
+    toxic; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    flat = fitted(sampled_labels(docs if known is None else known, labels), fit_chain)
+    sample = with_features(sampled_labels(docs if known is None else known, labels, SAMPLE, "toxic"), lambda texts: [features(t) for t in texts], "array<int>")
+    flat = fitted(clear_features(sample), lambda x, y: fit_chain([np.frombuffer(v, np.int32) for v in x], y))
     chain = spark.sparkContext.broadcast(split_weights(flat))
-    names = [f"p_{c}" for c in CHAIN]
-    kept = [c for c in docs.columns if c not in (*names, "is_toxic")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probabilities(texts: list[str | None]) -> list[pa.Array]:
         own = chain.value
-        for batch in batches:
-            p = [predict(own, t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            columns = [pa.array([r[k] for r in p], pa.float64()) for k in range(len(CHAIN))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns, pa.array([r[-1] > REJECT for r in p], pa.bool_())], [*batch.schema.names[:-1], *names, "is_toxic"])
+        p = np.array([predict(own, t) for t in texts], float).reshape(len(texts), len(CHAIN))
+        return [*(pa.array(c) for c in p.T), pa.array(p[:, -1] > REJECT)]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), *(f"{n} double" for n in names), "is_toxic boolean"])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return with_columns(docs, {**{f"p_{c}": "double" for c in CHAIN}, "is_toxic": "boolean"}, probabilities)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the probability of each category and is_toxic for every row of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     scored = with_toxicity(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), docs)
     return scored.drop("text")
