@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-SAMPLES = 64
+SAMPLES = 48
 #: Documents of a bucket of neighbours, and ids (a bounded sample, for the layout only) that buckets are cut by.
 NEIGHBOURS, SAMPLED = 1500, 1 << 15
 
