@@ -1,11 +1,16 @@
-"""Main text of web pages by wrappers: union-free regular expressions over the block streams of a host.
-
-A page is a stream of blocks, each named by its path of elements. The streams of a host are folded
-into one expression: neighbouring repeats become repeated groups, blocks that some streams lack
-become optional, and blocks whose text differs between pages are slots while others are the
-template's own words. Equal streams are counted first and folded in small batches, level by level,
-so that a host with a third of all pages is no larger a task than another. The slots that lie in the
-article's part of the expression are what is read from each page.
+"""Main text of web pages by wrappers: union-free regular expressions over the token streams of a host.
+
+A page is a stream of tokens: each block of text under its path of elements. A text that stands under
+one path on nearly all pages of a host is a token of the template's own (a literal); all other texts
+are slots. The streams of a host are folded into one expression: neighbouring repeats become repeated
+groups, and tokens that some streams lack become optional. Equal pages count once, equal streams are
+folded once, in small batches, level by level, so that a host with a third of all pages is no larger
+a task than another. Each page is then matched against its host's expression, and the slots that make
+up the article are read from it.
+
+Variation alone cannot tell an article from an advert or a reader's comment, which vary too: slots
+are told apart by the role that HTML gives their elements, by the names that pages give them, by
+their links, and by where most of the text is.
 """
 
 from __future__ import annotations
@@ -13,12 +18,13 @@ from __future__ import annotations
 import html
 import json
 import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +35,11 @@ FAN = 64
 #: Wrappers up to this many bytes go to all tasks; beyond it they are joined by host.
 BROADCAST = 16 << 20
 SALTS = 64
+#: A literal stands on so many pages of a host at least, and on this part of them. Pages whose longest
+#: text is the same count as one, so that copies of an article do not make its text a literal.
+PAGES, SHARE = 8, 0.9
+#: Between the path of a literal and the digest of its text.
+IS = "\x1f"
 
 # Elements of HTML by their role.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -140,10 +151,8 @@ def folded(stream: list[list]) -> list[list]:
 
 
 def _join(a: list, b: list) -> None:
-    """Fold an entry into another: [path, optional, repeated, least text, greatest text, characters, in links, pages]."""
-    a[1], a[2] = a[1] or b[1], a[2] or b[2]
-    a[3], a[4] = min(a[3], b[3]), max(a[4], b[4])
-    a[5], a[6], a[7] = a[5] + b[5], a[6] + b[6], max(a[7], b[7])
+    """Fold an entry into another: [token, optional, repeated, characters, characters in links]."""
+    a[1], a[2], a[3], a[4] = a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4]
 
 
 def aligned(a: list[list], b: list[list]) -> list[list]:
@@ -163,9 +172,7 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
     out: list[list] = []
 
     def both(p: list, q: list) -> None:
-        pages = p[7] + q[7]
         _join(p, q)
-        p[7] = pages
         out.append(p)
 
     for k in range(head):
@@ -186,33 +193,66 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
     return folded(out)
 
 
-def article_paths(wrapper: list[list]) -> list[str]:
-    """The paths of the slots that make up the article.
+def reading(wrapper: list[list]) -> list[bool]:
+    """Which entries of an expression the article is read from: never literals, nor what lies in furniture.
 
-    A main part marks it. Without one: of the blocks outside furniture that vary between pages and
-    are not mostly links, those below the smallest element that holds four fifths of their text.
+    Of a main part all slots are. Without one: the slots that are not mostly links, below the smallest
+    element that holds four fifths of their text, and the headings of the first order before it.
     """
-    open_ = [e for e in wrapper if "!" not in e[0]]
-    main = [e[0] for e in open_ if "*" in e[0]]
-    slots = [e for e in open_ if "*" not in e[0] and 2 * e[6] < max(e[5], 1) and not (e[7] > 2 and e[3] == e[4] and not e[2])]
+    slot = [IS not in e[0] and "!" not in e[0] for e in wrapper]
+    free = [e for e, own in zip(wrapper, slot) if own and "*" not in e[0] and 2 * e[4] < max(e[3], 1)]
     mass: dict[str, int] = {}
-    for e in slots:
+    for e in free:
         parts = e[0].split(">")
         for k in range(1, len(parts) + 1):
             above = ">".join(parts[:k])
-            mass[above] = mass.get(above, 0) + e[5]
-    whole = sum(e[5] for e in slots)
-    roots = [p for p, v in mass.items() if 5 * v >= 4 * whole]
-    root = max(roots, key=lambda p: p.count(">"), default="")
-    return list(dict.fromkeys(main + [e[0] for e in slots if e[0] == root or e[0].startswith(root + ">") or not root]))
+            mass[above] = mass.get(above, 0) + e[3]
+    whole = sum(e[3] for e in free)
+    root = max((p for p, v in mass.items() if 5 * v >= 4 * whole), key=lambda p: p.count(">"), default="")
+    below = {e[0] for e in free if e[0] == root or e[0].startswith(root + ">") or not root or e[0].rpartition(">")[2].split(".")[0] == "h1"}
+    return [own and ("*" in e[0] or e[0] in below and 2 * e[4] < max(e[3], 1)) for e, own in zip(wrapper, slot)]
 
 
-def article(found: list[tuple[str, str, int]], paths: frozenset[str] | None) -> str:
-    """The text of a page's blocks that the wrapper reads; a page with a main part is read there only."""
-    inside = [(p, t) for p, t, _ in found if "!" not in p]
-    if any("*" in p for p, _ in inside):
-        inside = [(p, t) for p, t in inside if "*" in p]
-    return " ".join(t for p, t in inside if paths is None or p in paths)
+class Expression:
+    """The expression of a host, ready to be matched (without one, every block outside furniture is read)."""
+
+    def __init__(self, wrapper: list[list]):
+        self.read = reading(wrapper)
+        self.literals = {e[0] for e in wrapper if IS in e[0]}
+        self.places: dict[str, list[int]] = {}
+        for k, e in enumerate(wrapper):
+            self.places.setdefault(e[0], []).append(k)
+
+    def matched(self, tokens: list[str]) -> list[int | None]:
+        """The entry that each token of a page stands for: the next one of its name, or in a repeated group one that came before."""
+        out, at = [], 0
+        for t in tokens:
+            known = self.places.get(t)
+            if known is None:
+                out.append(None)
+                continue
+            k = bisect_left(known, at)
+            at = known[k] if k < len(known) else known[-1]
+            out.append(at)
+        return out
+
+
+def text_digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def article(found: list[tuple[str, str, int]], expression: Expression) -> str:
+    """The text that the host's expression reads from a page; a page with a main part is read there only.
+
+    Where it reads nothing from a page without a main part, all slots outside furniture are read.
+    """
+    tokens = [p for p, _, _ in found]
+    if expression.literals:
+        tokens = [name if (name := f"{p}{IS}{text_digest(t)}") in expression.literals else p for p, t, _ in found]
+    main = any("*" in p and "!" not in p for p, _, _ in found)
+    inside = [(k, IS in name, t) for name, k, (p, t, _) in zip(tokens, expression.matched(tokens), found) if "!" not in p and (not main or "*" in p)]
+    out = [t for k, literal, t in inside if not literal and (k is None or expression.read[k])]
+    return " ".join(out if out or main else [t for _, literal, t in inside if not literal])
 
 
 def host_of(url: str | None) -> str:
@@ -222,33 +262,62 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-_STREAM = "host string, stream long, pos int, path string, repeated boolean, low long, high long, chars long, links long"
+_TOKENS = "host string, page long, body long, paths array<string>, texts array<long>, chars array<int>, links array<int>"
+_STREAM = "host string, stream long, pos int, path string, repeated boolean, chars long, links long"
 _WRAPPER = "host string, no long, wrapper string"
 
 
-def streams(pages: DataFrame) -> DataFrame:
-    """A row for each block of each page's folded stream; ``stream`` numbers equal ones alike."""
+def tokens(pages: DataFrame) -> DataFrame:
+    """A row for each different page of a host: the paths, digests and lengths of its blocks, and which its longest text is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("host", pa.string()), ("stream", pa.int64()), ("pos", pa.int32()), ("path", pa.string()), ("repeated", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
                 for url, page in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    stream = folded([[p, False, False, h := zlib.crc32(t.encode("utf-8", "surrogatepass")), h, len(t), n, 1] for p, t, n in blocks(page)])
-                    name, host = zlib.crc32("\n".join(f"{e[0]}{e[2]}" for e in stream).encode("utf-8", "surrogatepass")), host_of(url)
-                    rows += [(host, name, k, e[0], e[2], e[3], e[4], e[5], e[6]) for k, e in enumerate(stream)]
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+                    found = blocks(page)
+                    paths, texts, chars = [p for p, _, _ in found], [text_digest(t) for _, t, _ in found], [len(t) for _, t, _ in found]
+                    body = texts[chars.index(max(chars))] if found else 0
+                    rows.append((host_of(url), text_digest("\n".join([*paths, *map(str, texts)])), body, paths, texts, chars, [n for _, _, n in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _TOKENS.split(", ")])
+
+    own = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, _TOKENS)
+    return stored(own.dropDuplicates(["host", "page"]), "page-tokens")
+
 
-    return pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, _STREAM)
+def literals(found: DataFrame) -> DataFrame:
+    """(host, literals): the tokens of the template's own, at most a page's blocks for each host."""
+    each = found.select("host", "body", F.explode(F.arrays_zip("paths", "texts")).alias("x")).select("host", "body", "x.*").distinct()
+    bodies = found.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= PAGES)
+    counted = each.groupBy("host", "paths", "texts").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
+    own = counted.join(bodies, "host").where(F.col("n") >= SHARE * F.col("all"))
+    return stored(own.groupBy("host").agg(F.collect_list(F.concat("paths", F.lit(IS), F.col("texts").cast("string"))).alias("literals")), "literals")
+
+
+def streams(found: DataFrame, own: DataFrame) -> DataFrame:
+    """A row for each token of each different page's folded stream; ``stream`` numbers equal ones alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("host", pa.string()), ("stream", pa.int64()), ("pos", pa.int32()), ("path", pa.string()), ("repeated", pa.bool_()), ("chars", pa.int64()), ("links", pa.int64())])
+        for batch in batches:
+            rows = []
+            for host, paths, texts, chars, links, known in zip(*(c.to_pylist() for c in batch.columns)):
+                held = set(known or ())
+                stream = folded([[name if (name := f"{p}{IS}{t}") in held else p, False, False, c, n] for p, t, c, n in zip(paths, texts, chars, links)])
+                number = text_digest("\n".join(f"{e[0]}{e[2]}" for e in stream))
+                rows += [(host, number, k, e[0], e[2], e[3], e[4]) for k, e in enumerate(stream)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+
+    return found.join(own, "host", "left").select("host", "paths", "texts", "chars", "links", "literals").mapInArrow(run, _STREAM)
 
 
 def wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
-    """(host, paths, wrapper): the expression of each host, and the paths that it reads articles from."""
-    own = streams(pages)
-    equal = own.groupBy("host", "stream", "pos", "path", "repeated").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.count(F.lit(1)).alias("pages"))
-    equal = stored(equal, "streams")
-    most = equal.groupBy("host").agg(F.count_distinct("stream").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    """(host, wrapper): the expression of each host, as JSON."""
+    found = tokens(pages)
+    own = streams(found, literals(found))
+    equal = stored(own.groupBy("host", "stream", "pos", "path", "repeated").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")), "streams")
+    most = equal.select("host", "stream").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
     levels = 1
     while fan**levels < most:
         levels += 1
@@ -256,7 +325,7 @@ def wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
     def first(frame: pd.DataFrame) -> pd.DataFrame:
         done: list[list] | None = None
         for _, one in frame.sort_values(["stream", "pos"]).groupby("stream", sort=True):
-            stream = [[p, False, bool(r), int(a), int(b), int(c), int(n), int(k)] for p, r, a, b, c, n, k in one[["path", "repeated", "low", "high", "chars", "links", "pages"]].itertuples(index=False)]
+            stream = [[p, False, bool(r), int(c), int(n)] for p, r, c, n in one[["path", "repeated", "chars", "links"]].itertuples(index=False)]
             done = stream if done is None else aligned(done, stream)
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "no": [int(frame["no"].iloc[0])], "wrapper": [json.dumps(done)]})
 
@@ -269,49 +338,57 @@ def wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
     made = equal.withColumn("no", F.pmod("stream", F.lit(fan ** (levels - 1)))).groupBy("host", "no").applyInPandas(first, _WRAPPER)
     for level in range(levels - 2, -1, -1):
         made = made.select("host", F.col("no").alias("from"), F.pmod("no", F.lit(fan**level)).alias("no"), "wrapper").groupBy("host", "no").applyInPandas(again, _WRAPPER)
+    return stored(made.select("host", "wrapper"), "wrappers")
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths = [json.dumps(article_paths(json.loads(w.as_py()))) for w in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), batch.column(1)], ["host", "paths", "wrapper"])
 
-    return stored(made.select("host", "wrapper").mapInArrow(chosen, "host string, paths string, wrapper string"), "wrappers")
+_NONE = Expression([])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
     Null and empty pages have an empty text. Pages without a host (or with a malformed URL) share
-    one wrapper. Repeated rows are read each; an empty table gives no rows.
+    one expression. Repeated rows are read each, and equal pages count once for the expression; other
+    columns, whatever their names, are not carried; an empty table gives no rows.
     """
     spark = pages.sparkSession
     found = wrappers(pages)
-    size = found.agg(F.sum(F.length("host") + F.length("paths")).alias("n")).first()["n"] or 0
+    size = found.agg(F.sum(F.length("host") + F.length("wrapper")).alias("n")).first()["n"] or 0
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     out = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
-    def texts(batch: pa.RecordBatch, paths: list[frozenset[str] | None]) -> pa.RecordBatch:
-        text = [article(blocks(h.as_py()), p) for h, p in zip(batch.column(2), paths)]
+    def texts(batch: pa.RecordBatch, own: list[Expression]) -> pa.RecordBatch:
+        text = [article(blocks(h.as_py()), e) for h, e in zip(batch.column(2), own)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     if size <= BROADCAST:
-        known = spark.sparkContext.broadcast({r["host"]: frozenset(json.loads(r["paths"])) for r in found.select("host", "paths").collect()})
+        known = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in found.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[str, Expression] = {}
             for batch in batches:
-                yield texts(batch, [known.value.get(host_of(u.as_py())) for u in batch.column(1)])
+                hosts = [host_of(u.as_py()) for u in batch.column(1)]
+                for h in set(hosts).difference(made):
+                    made[h] = Expression(json.loads(known.value[h])) if h in known.value else _NONE
+                yield texts(batch, [made[h] for h in hosts])
 
         return rows.mapInArrow(run, out)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield texts(batch, [None if p.as_py() is None else frozenset(json.loads(p.as_py())) for p in batch.column(3)])
+            made = {w: Expression(json.loads(w)) for w in set(batch.column(3).to_pylist()) if w is not None}
+            yield texts(batch, [made.get(w, _NONE) for w in batch.column(3).to_pylist()])
+
+    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u.as_py()) for u in batch.column(1)], pa.string())], [*batch.schema.names, "host"])
 
-    host = F.udf(host_of, "string")
-    salted = rows.withColumn("host", host("url")).withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)))
-    each = found.select("host", "paths").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(each, ["host", "salt"], "left").select("page_id", "url", "html", "paths").mapInArrow(joined, out)
+    placed = rows.mapInArrow(hosts, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, html string, host string")
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)))
+    each = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(each, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper").mapInArrow(joined, out)
 
 
 def op4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars for every row of ``pages``; see ``main_texts``."""
     return main_texts(table(spark, sf_dir, "pages"))
