@@ -11,8 +11,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
+import re
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +28,8 @@ from .common import fresh_dir, stored, table
 
 #: Compressed bytes of a file, of one read, and of a gap that is read over rather than skipped.
 FILE, READ, GAP = 64 << 20, 8 << 20, 64 << 10
+#: Tasks that read, at most; each has READ bytes of archive or more.
+TASKS = 100_000
 #: Payloads from so many bytes on are stored once (fixed by the archive's users).
 REVISIT_FROM = 0
 
@@ -35,25 +41,39 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _clean(value: str | None) -> str:
-    return " ".join((value or "").split())
+#: White space and control characters, which no URI holds.
+_NOT_IN_URI = re.compile(r"[\x00-\x20\x7f\x85\xa0\u2028\u2029]")
 
 
-def record(page_id: int | None, kind: str, refers_to: int | None, url: str | None, payload: bytes, own_digest: str) -> bytes:
-    """One WARC record: a response with its payload, or a revisit that names the response."""
-    body = payload if kind == "response" else b""
+def _uri(url: str | None) -> str:
+    return _NOT_IN_URI.sub(lambda c: quote(c[0]), url or "")
+
+
+def record(page_id: int | None, kind: str, refers_to: int | None, url: str | None, payload: bytes, own_digest: str, date: str, number: str) -> bytes:
+    """One WARC record: a response with its payload behind an HTTP head, or a revisit that names the response.
+
+    ``number`` is unique to the record. The page's id, and a URL that is no URI as it stands, are
+    kept in fields of their own, so that nothing is lost.
+    """
+    block = b""
+    if kind == "response":
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     head = [
         "WARC/1.0",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {_clean(url)}",
+        f"WARC-Record-ID: <urn:uuid:{number}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {_uri(url)}",
         f"WARC-Payload-Digest: sha1:{own_digest}",
-        f"WARC-Payload-Length: {len(payload)}",
+        f"X-Page-ID: {json.dumps(page_id)}",
+        f"X-Payload-Length: {len(payload)}",
     ]
+    if url is None or _uri(url) != url:
+        head.append(f"X-Page-URL: {json.dumps(url)}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]
-    return "\r\n".join(head).encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {json.dumps(refers_to)}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
 def parsed(data: bytes) -> dict:
@@ -63,12 +83,13 @@ def parsed(data: bytes) -> dict:
     if lines[0] != "WARC/1.0":
         raise ValueError("no WARC record where the index says")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    body = rest[: int(fields["Content-Length"])]
+    block = rest[: int(fields["Content-Length"])]
+    body = block.partition(b"\r\n\r\n")[2]
     own = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "response" and digest(body) != own:
         raise ValueError("a payload differs from its digest")
-    number = lambda key: int(x) if (x := fields.get(key, "").removeprefix("<urn:page:").removesuffix(">")) else None
-    return {"page_id": number("WARC-Record-ID"), "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "url": fields["WARC-Target-URI"], "payload_bytes": int(fields["WARC-Payload-Length"]), "payload_digest": own, "payload": body}
+    url = json.loads(fields["X-Page-URL"]) if "X-Page-URL" in fields else fields["WARC-Target-URI"]
+    return {"page_id": json.loads(fields["X-Page-ID"]), "record_type": fields["WARC-Type"], "refers_to": json.loads(fields.get("X-Refers-To-Page-ID", "null")), "url": url, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": own, "payload": body}
 
 
 def with_roles(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
@@ -80,13 +101,18 @@ def with_roles(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    first = rows.groupBy("sha", "n").agg(F.max("page_id").alias("first"))
-    alone = (F.col("n") < least) | F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(first, ["sha", "n"]).select("page_id", "url", "payload", F.when(alone, "response").otherwise("revisit").alias("record_type"), F.when(~alone, F.col("first")).alias("refers_to"))
+    # only what occurs twice is looked up; where that is little, Spark sends it to the payloads, which then stay where they are
+    first = stored(rows.groupBy("sha", "n").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeated-payloads")
+    alone = F.col("copies").isNull() | (F.col("n") < least) | F.col("page_id").eqNullSafe(F.col("first"))
+    return rows.join(first, ["sha", "n"], "left").select("page_id", "url", "payload", F.when(alone, "response").otherwise("revisit").alias("record_type"), F.when(~alone, F.col("first")).alias("refers_to"))
+
 
+def write(records: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Write the records to files in ``folder``; returns the committed index (one row a record).
 
-def write(records: DataFrame, folder: str) -> DataFrame:
-    """Write the records to files in ``folder``; returns the committed index (one row a record)."""
+    ``date`` is the time of capture in ISO form (default: now).
+    """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -101,8 +127,11 @@ def write(records: DataFrame, folder: str) -> DataFrame:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
+                        info = gzip.compress(f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: 26\r\n\r\nformat: WARC File Format\r\n\r\n\r\n".encode(), 6, mtime=0)
+                        out.write(info)
+                        at = len(info)
                     own = digest(payload)
-                    data = gzip.compress(record(page_id, kind, refers, url, payload, own), 6, mtime=0)  # a member for each record, as usual
+                    data = gzip.compress(record(page_id, kind, refers, url, payload, own, date, str(uuid.uuid4())), 6, mtime=0)  # a member for each record, as usual
                     out.write(data)
                     rows.append((page_id, kind, refers, url, len(payload), own, name, at, len(data)))
                     at += len(data)
@@ -125,7 +154,9 @@ def read(index: DataFrame, folder: str, chosen: Column | None = None, payloads:
     bounded size. With ``payloads`` the stored bytes are a column too (empty for revisits).
     """
     rows = index if chosen is None else index.where(chosen)
-    laid = rows.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    rows = rows.select("file", "offset", "length")
+    tasks = min(TASKS, (rows.agg(F.sum("length").alias("n")).first()["n"] or 0) // READ + 1)
+    laid = rows.repartition(tasks, "file", F.floor(F.col("offset") / READ)).sortWithinPartitions("file", "offset")  # by bytes of archive, not of index
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *(["payload"] if payloads else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,4 +199,5 @@ def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` written to WARC files and read back; see ``archived``."""
     return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
