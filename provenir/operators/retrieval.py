@@ -46,9 +46,9 @@ def bm25(docs: DataFrame, terms: list[str], text: str = "text", heading: str | N
 
 def postings(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 3) -> DataFrame:
     """(gram, id, tf): the inverted index of lower-case character grams, for corpora that are searched often."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - (width - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(width)))
-    return docs.select(id_col, F.explode(every).alias("gram")).where(F.char_length("gram") == width).groupBy("gram", id_col).agg(F.count(F.lit(1)).alias("tf"))
+    chars = docs.select(id_col, F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "").alias("c")).where(F.size("c") >= width)
+    every = F.transform(F.sequence(F.lit(0), F.size("c") - width), lambda i: F.concat(*[F.get("c", i + k) for k in range(width)]))
+    return chars.select(id_col, F.explode(every).alias("gram")).groupBy("gram", id_col).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def inner(v: Column, query: list[float]) -> Column:

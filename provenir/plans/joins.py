@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import ledger as L
+from ..operators import ordering as O
 
 
 @query("j01_inner_chain", "SELECT l_orderkey, l_linenumber, o_orderdate, c_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity > 45")
@@ -110,14 +111,11 @@ def j17(t):
 
 
 @query("j18_nearest_partner", """
-WITH c AS (SELECT a.doc_id, b.doc_id AS partner, row_number() OVER (PARTITION BY a.doc_id ORDER BY (a.lang = b.lang) , abs(a.n_chars - b.n_chars), b.doc_id) AS rn FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id <> b.doc_id WHERE a.source IN ('src1', 'src2'))
+WITH c AS (SELECT a.doc_id, b.doc_id AS partner, row_number() OVER (PARTITION BY a.doc_id ORDER BY (a.lang = b.lang) , abs(a.n_chars - b.n_chars), b.doc_id) AS rn FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id <> b.doc_id)
 SELECT doc_id, partner FROM c WHERE rn = 1""")
 def j18(t):
     """The run to compare with: another mode if there is one, then the nearest in size."""
-    own = t("documents").where(F.col("source").isin("src1", "src2")).select("source", "doc_id", "lang", "n_chars")
-    other = own.select("source", F.col("doc_id").alias("partner"), F.col("lang").alias("l2"), F.col("n_chars").alias("n2"))
-    order = Window.partitionBy("doc_id").orderBy(F.col("lang") == F.col("l2"), F.abs(F.col("n_chars") - F.col("n2")), "partner")
-    return own.join(other, "source").where("doc_id <> partner").withColumn("rn", F.row_number().over(order)).where("rn = 1").select("doc_id", "partner")
+    return O.nearest_partners(t("documents"), "source", "lang", "n_chars")
 
 
 @query("j19_coverage_grid", """
@@ -197,12 +195,12 @@ def s29(t):
     return L.superseded(stored, again, ["doc_id"], "digest").select("doc_id", "version")
 
 
-@query("s11_register_upsert", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.lang, a.lang) AS lang, coalesce(b.source, a.source) AS source FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id < 600) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'xx' END AS lang, CASE WHEN doc_id % 5 = 0 THEN 'new' END AS source FROM documents WHERE doc_id >= 400) b ON a.doc_id = b.doc_id")
+@query("s11_register_upsert", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.lang, a.lang) AS lang, coalesce(b.source, a.source) AS source FROM documents a FULL JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'xx' END AS lang, CASE WHEN toxic = 1 THEN 'new' END AS source FROM labels) b ON a.doc_id = b.doc_id")
 def s11(t):
     """Known values stay where the new row has none."""
     d = t("documents").select("doc_id", "lang", "source")
-    new = d.where("doc_id >= 400").select("doc_id", F.when(F.col("doc_id") % 2 != 0, "xx").alias("lang"), F.when(F.col("doc_id") % 5 == 0, "new").alias("source"))
-    return L.upserted(d.where("doc_id < 600"), new, ["doc_id"])
+    new = t("labels").select("doc_id", F.when(F.col("quality") == 1, "xx").alias("lang"), F.when(F.col("toxic") == 1, "new").alias("source"))
+    return L.upserted(d, new, ["doc_id"])
 
 
 @query("s37_purge", "SELECT doc_id, source FROM documents WHERE source NOT IN ('src3', 'src4')")

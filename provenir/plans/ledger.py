@@ -35,7 +35,7 @@ def e03(spark, sf_dir):
 
 @stream("e04_progress_fold", "SELECT user_id, count(*) AS done, max(event_id) AS last_event FROM events GROUP BY user_id")
 def e04(spark, sf_dir):
-    return E.drained(E.progress(E.ledger(spark, sf_dir)), "update")
+    return E.drained(E.progress(E.ledger(spark, sf_dir)), "update", ["user_id"])
 
 
 @query("e02_tail_page", "SELECT event_id, event_type, event_id = max(event_id) OVER () AS done FROM (SELECT * FROM events WHERE event_id > 9900 ORDER BY event_id LIMIT 500)")

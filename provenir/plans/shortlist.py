@@ -69,11 +69,11 @@ def j14(t):
     return a.join(b, ["source", "k"]).where("m between 0.5 * n_chars and 2.2 * n_chars").select("doc_id", "translation")
 
 
-@query("j22_carried_readings", "SELECT min(doc_id) AS doc_id, source, lang, n_chars % 5 AS measure FROM (SELECT * FROM documents WHERE doc_id < 500 UNION ALL SELECT * FROM documents WHERE doc_id >= 300) GROUP BY source, lang, n_chars % 5")
+@query("j22_carried_readings", "SELECT min(doc_id) AS doc_id, source, lang, n_chars % 5 AS measure FROM (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT * FROM documents) GROUP BY source, lang, n_chars % 5")
 def j22(t):
     """Findings of an earlier run and of this one, each once."""
     d = t("documents").select("doc_id", "source", "lang", (F.col("n_chars") % 5).alias("measure"))
-    return d.where("doc_id < 500").unionByName(d.where("doc_id >= 300")).groupBy("source", "lang", "measure").agg(F.min("doc_id").alias("doc_id"))
+    return d.join(t("labels"), "doc_id", "left_semi").unionByName(d).groupBy("source", "lang", "measure").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("j23_replayed_retrieval", "SELECT user_id, min(event_id) AS best, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS channels FROM events GROUP BY user_id")

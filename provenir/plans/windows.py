@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import ledger as L
+from ..operators import ordering as O
 
 
 def _w(by: str, *order):
@@ -110,7 +111,7 @@ def o07(t):
     return b.select("x.doc_id", "source", (-F.col("x.col1")).alias("n_chars")).orderBy(F.desc("n_chars"), "doc_id").limit(12)
 
 
-@query("o04_governing_first", "SELECT doc_id, row_number() OVER (ORDER BY CASE source WHEN 'src2' THEN 1 WHEN 'src5' THEN 2 ELSE 999 END, doc_id) AS pos FROM documents WHERE doc_id < 200")
+@query("o04_governing_first", "SELECT doc_id, row_number() OVER (ORDER BY CASE source WHEN 'src2' THEN 1 WHEN 'src5' THEN 2 ELSE 999 END, doc_id) AS pos FROM documents")
 def o04(t):
     rank = F.when(F.col("source") == "src2", 1).when(F.col("source") == "src5", 2).otherwise(999)
-    return t("documents").where("doc_id < 200").select("doc_id", F.row_number().over(Window.orderBy(rank, "doc_id")).alias("pos"))
+    return O.positions(t("documents").select("doc_id", rank.alias("rank")), "rank", "doc_id").select("doc_id", "pos")

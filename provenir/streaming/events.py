@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, on one machine a temporary one."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return (known or "file://" + tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/") + "/" + uuid4().hex
 
 
@@ -24,8 +24,11 @@ def ledger(spark: SparkSession, path: str, name: str = "events") -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path}/{name}*.parquet")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and give what it has written."""
+def drained(stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there and give what it has written.
+
+    In update mode a batch holds only what it has changed: of each ``key`` the row of its newest batch counts.
+    """
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
@@ -39,6 +42,10 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     out = spark.read.schema(stream.schema).parquet(f"{folder}/out")
     if mode == "append":
         return out
+    if mode == "update":
+        every = spark.read.parquet(f"{folder}/out")
+        newest = every.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+        return newest.select("row.*")
     latest = spark.read.parquet(f"{folder}/out").agg(F.max("batch")).first()[0]
     return spark.read.parquet(f"{folder}/out/batch={latest}")
 
