@@ -100,7 +100,8 @@ def decided(findings: DataFrame, gates: tuple[Gate, ...] = GATES) -> DataFrame:
     hit = F.when(F.col("_gate").isNotNull(), F.element_at(table, F.col("_gate") + 1))
     starred = hit["outcome"] == "ruled out*"
     outcome = F.when(starred & uncovered, "held").when(starred, "ruled out").otherwise(hit["outcome"])
-    return findings.withColumn("_gate", first).withColumns({"gate": hit["gate"], "outcome": outcome, "reason": hit["reason"]}).drop("_gate")
+    # exploded, so that the conditions stand in the plan once and not in each column that reads the gate
+    return findings.select("*", F.explode(F.array(first)).alias("_gate")).withColumns({"gate": hit["gate"], "outcome": outcome, "reason": hit["reason"]}).drop("_gate")
 
 
 # Combinators: each gives the ordinal of a band from the findings of one cell (an aggregate column).
