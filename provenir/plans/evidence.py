@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import passages as P
+from ..sources import pages as S
 from ..streaming.events import shared_folder
 
 
@@ -97,3 +98,51 @@ def s33(t):
     path = shared_folder(d.sparkSession)
     d.select(F.concat(F.concat_ws(",", *fields), F.lit("\r")).alias("value")).write.text(path)
     return d.sparkSession.read.schema("doc_id string, quality string, toxic string").option("escape", '"').csv(path)
+
+
+@query("p11_links_worth_opening", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false)) v(id, opens)")
+def p11(t):
+    rows = [(1, "/legislation/acts", "Browse"), (2, "/news/acts", "New Acts"), (3, "/home", "Welcome"), (4, None, "Codes of practice"), (5, "/practice", "Practices")]
+    return literal(t, rows, "id int, path string, text string").select("id", P.worth_opening(F.col("path"), F.col("text")).alias("opens"))
+
+
+@query("p14_may_govern", "SELECT * FROM (VALUES (1), (4)) v(id)")
+def p14(t):
+    """An instrument governs if it was read and is no publication."""
+    d = literal(t, [(1, True, "act"), (2, False, "act"), (3, True, "publication"), (4, True, "rule"), (5, None, "act")], "id int, was_read boolean, kind string")
+    return d.where("was_read and kind <> 'publication'").select("id")
+
+
+@query("p15_read_in_full", "SELECT * FROM (VALUES (1), (4)) v(id)")
+def p15(t):
+    """A provision is read in full if nothing failed and no item of the answer was unreadable."""
+    d = literal(t, [(1, None, 0), (2, "timeout", 0), (3, None, 2), (4, None, None)], "id int, failure string, unreadable int")
+    return d.where(F.col("failure").isNull() & (F.coalesce("unreadable", F.lit(0)) == 0)).select("id")
+
+
+@query("p17_exceptions", "SELECT * FROM (VALUES (1, 'government data'), (2, NULL), (3, 'asked in its own pillar'), (4, 'within the stated exception'), (5, NULL), (6, NULL), (7, NULL)) v(id, reason)")
+def p17(t):
+    rows = [
+        (1, "Excludes government data", True, None, None, None),
+        (2, "Excludes government data", None, None, None, None),
+        (3, "Telecoms are covered under Pillar 5", False, "Telecom operators", None, None),
+        (4, "Excludes small firms", False, "retail", True, "small firms"),
+        (5, "Excludes small firms", False, "retail", True, ""),
+        (6, None, True, "telecom", True, "x"),
+        (7, "Telecoms are covered under Pillar 5", False, None, False, None),
+    ]
+    d = literal(t, rows, "id int, exception string, government boolean, sector string, within boolean, target string")
+    reason = P.excepted(F.col("exception"), F.col("government"), F.col("sector"), F.col("within"), F.col("target"), "(?i)telecom|e-?commerce|online market")
+    return d.select("id", reason.alias("reason"))
+
+
+@query("s22_running_headers", "SELECT * FROM (VALUES ('a', 'Personal Data Protection for the utilities sector')) v(doc, header)")
+def s22(t):
+    """A header of two lines on all pages but one; a short document and one without repeats have none."""
+    rows = []
+    for page in range(6):
+        head = ["Personal Data Protection", "for the  utilities sector"] if page else []
+        rows += [("a", page, i, x) for i, x in enumerate([f"page {page}", *head, f"Some words that only page number {'abcdef'[page]} holds", "........................"])]
+    rows += [("b", page, 0, "A header that is repeated") for page in range(3)]
+    rows += [("c", page, 0, f"A line for each page {'wxyz'[page] * 4}") for page in range(4)]
+    return S.running_headers(literal(t, rows, "doc string, page int, i int, line string"))

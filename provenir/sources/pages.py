@@ -128,3 +128,24 @@ def greedy_bins(sizes: Column, most: int) -> Column:
         return F.struct(F.when(new, x).otherwise(s["used"] + x).cast("long").alias("used"), number.alias("bin"), F.concat(s["bins"], F.array(number)).alias("bins"))
 
     return F.aggregate(sizes, start, step, lambda s: s["bins"])
+
+
+def running_headers(lines: DataFrame) -> DataFrame:
+    """(doc, header) from (doc, page, i, line): the line that most pages repeat, with its neighbours if they go along.
+
+    A header stands on three pages and on 15 % of them at least, in a document of four pages or more;
+    a neighbour line belongs to it if it is one itself and stands beside it on 80 % of its pages.
+    Ties go to the longer line, then to the one that sorts last.
+    """
+    text = F.trim(F.regexp_replace("line", r"\s+", " "))
+    letters = F.char_length(F.regexp_replace(text, "[^A-Za-z]", ""))
+    named = lines.select("doc", "page", "i", text.alias("text"), F.lower(text).alias("key"), letters.alias("letters")).where(F.char_length("text").between(12, 160) & (F.col("letters") >= 0.6 * F.char_length("text")))
+    pages = lines.groupBy("doc").agg(F.count_distinct("page").alias("pages")).where("pages >= 4")
+    once = named.groupBy("doc", "key", "page").agg(F.min("i").alias("i"), F.min("text").alias("text"))
+    often = once.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text")).join(pages, "doc").where("n >= 3 and n >= 0.15 * pages")
+    best = often.groupBy("doc").agg(F.max(F.struct("n", F.char_length("text").alias("size"), "key", "text")).alias("best")).select("doc", "best.*")
+    places = once.join(best.select("doc", "key", F.col("n").alias("of")), ["doc", "key"]).select("doc", "page", "of", F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("i") - 1).alias("i")), F.struct(F.lit(2).alias("side"), (F.col("i") + 1).alias("i")))).alias("x")).select("doc", "page", "of", "x.*")
+    votes = places.join(named.select("doc", "page", "i", "key"), ["doc", "page", "i"]).groupBy("doc", "side", "key", "of").agg(F.count(F.lit(1)).alias("votes")).where("votes >= 0.8 * of")
+    beside = votes.join(often.select("doc", "key", "text"), ["doc", "key"]).groupBy("doc", "side").agg(F.max_by("text", F.struct("votes", "key")).alias("text"))
+    every = best.select("doc", F.lit(1).alias("side"), "text").unionByName(beside)
+    return every.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "text"))), lambda x: x["text"]), " ").alias("header"))
