@@ -107,6 +107,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.join(F.broadcast(firsts), placed["doc_id"].eqNullSafe(firsts["f_id"]) & (placed["h"] == firsts["f_h"]), "left")
     own, copy = F.struct("bucket", F.lit(False).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra"))
     laid = placed.select("doc_id", "h", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("to")).select("doc_id", "h", "text", "to.*")
+    laid = laid.repartition(len(cuts) + 1, "bucket")  # a task for about each bucket, which it can sort without spilling
     near = Window.partitionBy("bucket").orderBy("extra", "doc_id", "h")
     return laid.select("bucket", F.row_number().over(near).alias("rn"), "doc_id", "text", F.lead("text").over(near).alias("next_text"), "extra")
 
