@@ -44,6 +44,13 @@ def quote_pattern(quote: Column) -> Column:
     return F.when(whole != "", F.when(elided, F.array_join(each, r"[\s\S]*?")).otherwise(_pattern(whole)))
 
 
+def phrase_in(text: Column, phrase: Column) -> Column:
+    """Whether a folded text holds a phrase of three characters or more, its fragments in order at any distance."""
+    parts = F.filter(F.transform(F.split(F.trim(folded(phrase)), r"\s*(?:\.\.\.|…)\s*"), F.trim), lambda p: p != "")
+    enough = (F.size(parts) > 0) & F.forall(parts, lambda p: F.char_length(p) >= FRAGMENT)
+    return F.coalesce(enough & F.rlike(text, F.array_join(F.transform(parts, _pattern), r"[\s\S]*?")), F.lit(False))
+
+
 def quote_span(text: Column, quote: Column) -> Column:
     """Where a quote stands in a text: struct(start, end) in characters, end excluded; null if it does not."""
     pattern, low = quote_pattern(quote), folded(text)

@@ -69,6 +69,76 @@ def judged(readings: DataFrame, measures: DataFrame) -> DataFrame:
     return d.withColumns(flags)
 
 
+#: Answers that mean that nothing was stated (fixed values).
+NOTHING = r"(?i)^\s*(?:null|none|nil|n/?a|-+|\(none\)|unknown|unspecified|not (?:stated|specified|applicable|mentioned))?\.?\s*$"
+#: What each wording of a reading is said to state, in the order in which they are asked; "=" marks steps of their own.
+CLAIMS = (
+    ("duty_bearer", "party"), ("duty_act", "act"), ("place_words", "place"), ("exception_words", "exception"), ("located_data", "data"), ("information_words", "information"), ("keeping_words", "keeping"),
+    ("authorising_words", "authority"), ("role_words", "position"), ("=echo", ""), ("defining_words", "measure"), ("border_words", "border"), ("imposing_words", "requirement"), ("prescribing_words", "empowerment"),
+    ("=scope", ""), ("target_words", "target"), ("condition_words", "condition"),
+)
+
+
+def coerced(answers: DataFrame, measures: DataFrame) -> DataFrame:
+    """(id, answer) as readings: id, unreadable, indicator, quote, measure, missing.
+
+    ``measures``: a small dimension of (indicator, measure). A measure of one indicator only names its
+    indicator, whatever the answer says; a measure that the indicator does not have is null.
+    ``missing`` lists the facts that a reading must state and this one does not.
+    """
+    schema = "indicator string, quote string, measure string, duty_force string, mandatory boolean, bearer string"
+    d = answers.select("id", F.from_json("answer", schema).alias("a")).select("id", "a.*")
+    d = d.withColumns({c: F.when(~F.col(c).rlike(NOTHING), F.trim(c)) for c in ("indicator", "quote", "measure")})
+    has = measures.groupBy("measure").agg(F.collect_set("indicator").alias("owners"))
+    d = d.join(F.broadcast(has), "measure", "left")
+    readable = F.col("indicator").isNotNull() & F.col("quote").isNotNull()
+    filed = F.when(F.size("owners") == 1, F.col("owners")[0]).otherwise(F.col("indicator"))
+    facts = {"duty_force": ("requires", "forbids", "permits", "declares"), "bearer": ("government", "organisation", "individual")}
+    stated = {"duty_force": F.col("duty_force").isin(*facts["duty_force"]), "mandatory": F.col("mandatory").isNotNull(), "bearer": F.col("bearer").isin(*facts["bearer"])}
+    missing = F.concat_ws(", ", *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)) for c, ok in stated.items()])
+    d = d.select("id", readable.alias("ok"), filed.alias("indicator"), "quote", "measure", "owners", missing.alias("missing"))
+    known = F.when(F.array_contains("owners", F.col("indicator")), F.col("measure"))
+    return d.select("id", (~F.col("ok")).alias("unreadable"), *[F.when(F.col("ok"), c).alias(n) for n, c in (("indicator", F.col("indicator")), ("quote", F.col("quote")), ("measure", known), ("missing", F.nullif("missing", F.lit(""))))])
+
+
+def rejected(readings: DataFrame) -> DataFrame:
+    """``readings`` with ``rejection``: the first reason for which a reading does not count, else null.
+
+    Columns: allowed (whether the indicator was asked), text and heading of the provision, quote,
+    measure, gloss (the catalogue's description of the measure), name (a pattern of its name),
+    scope_stated, sector_scope, sector, and the wordings of ``CLAIMS``. Words count if the provision,
+    its heading or (but for the party) the quote holds them; a null wording claims nothing. Words that
+    only repeat the catalogue are no words of the provision, unless the quote names the measure.
+    """
+    text, heading, quote = (P.folded(F.coalesce(c, F.lit(""))) for c in ("text", "heading", "quote"))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    said, gloss = plain("defining_words"), plain("gloss")
+    echo = (F.char_length(said) >= 15) & (F.char_length(gloss) >= 15) & (F.contains(gloss, said) | F.contains(said, gloss))
+    named = F.coalesce(F.rlike(F.lower("quote"), F.col("name")), F.lit(False))
+    reasons = [
+        F.when(~F.coalesce("allowed", F.lit(False)), "not asked"),
+        F.when(P.quote_span(F.col("text"), F.col("quote")).isNull(), "quote not in the provision"),
+        F.when(F.col("measure").isNull(), "no measure named"),
+    ]
+    for column, what in CLAIMS:
+        if column == "=echo":
+            reasons.append(F.when(echo & ~named, "repeats the catalogue"))
+        elif column == "=scope":
+            reasons.append(F.when(~F.coalesce("scope_stated", F.lit(False)), "reach not stated"))
+            reasons.append(F.when((F.col("sector_scope") == "specific") & F.col("sector").isNull(), "no sector named"))
+        else:
+            held = P.phrase_in(text, F.col(column)) | P.phrase_in(heading, F.col(column))
+            if column != "duty_bearer":
+                held = held | P.phrase_in(quote, F.col(column))
+            claimed = F.col(column).isNotNull()
+            if column == "duty_act":  # an act of one or two letters says nothing that could be looked for
+                claimed = F.char_length(F.trim(column)) >= P.FRAGMENT
+            if column == "defining_words":  # by now an echo is one whose quote names the measure
+                claimed = claimed & ~F.coalesce(echo, F.lit(False))
+            reasons.append(F.when(claimed & ~held, f"{what} not in the provision"))
+    return readings.withColumn("rejection", F.coalesce(*reasons))
+
+
 def frameworks_decided(cells: DataFrame, found: DataFrame) -> DataFrame:
     """What the frameworks found for each cell make of it: state, ordinal of the band, reason.
 

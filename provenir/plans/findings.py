@@ -216,3 +216,68 @@ def z04_export(t):
     rows = literal(t, [(i + 1, *[r.get(c) for c in names]) for i, (_, _, r) in enumerate(_EXPORTS)], _EXPORT_SCHEMA)
     failed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("gate")))), ", ")
     return D.verified(rows).groupBy("row_id").agg(failed.alias("failed"), F.count("*").cast("int").alias("gates"))
+
+
+_READING = {
+    "allowed": True, "text": "1. The operator must keep personal data – in the territory.", "heading": "Data kept by banks", "quote": "must keep personal data", "measure": "local", "gloss": "a requirement that data stay in the economy",
+    "name": "data localisation", "scope_stated": True, "sector_scope": "all",
+}
+_REJECTIONS: list[tuple[str | None, dict]] = [
+    (None, {}),
+    ("not asked", {"allowed": False}),
+    ("quote not in the provision", {"quote": "may keep personal data"}),
+    ("quote not in the provision", {"quote": None}),
+    ("no measure named", {"measure": None}),
+    (None, {"duty_bearer": "The Operator"}),
+    (None, {"duty_bearer": "banks"}),
+    ("party not in the provision", {"duty_bearer": "a carrier"}),
+    (None, {"duty_act": "xy"}),
+    (None, {"duty_act": "must ... data"}),
+    ("act not in the provision", {"duty_act": "data ... must"}),
+    (None, {"place_words": "data - in the   territory"}),
+    ("place not in the provision", {"place_words": "in"}),
+    ("exception not in the provision", {"exception_words": "unless consent is given"}),
+    ("data not in the provision", {"located_data": "health records"}),
+    ("information not in the provision", {"information_words": "accounts"}),
+    ("keeping not in the provision", {"keeping_words": "stored"}),
+    ("authority not in the provision", {"authorising_words": "a warrant"}),
+    ("position not in the provision", {"role_words": "data officer"}),
+    ("repeats the catalogue", {"defining_words": "Data stay in the economy"}),
+    (None, {"defining_words": "data stay in the economy", "name": "personal data"}),
+    ("measure not in the provision", {"defining_words": "kept here"}),
+    ("border not in the provision", {"border_words": "abroad"}),
+    ("requirement not in the provision", {"imposing_words": "shall"}),
+    ("empowerment not in the provision", {"prescribing_words": "may prescribe"}),
+    ("reach not stated", {"scope_stated": None}),
+    ("no sector named", {"sector_scope": "specific"}),
+    (None, {"sector_scope": "specific", "sector": "banking"}),
+    ("target not in the provision", {"target_words": "foreign firms"}),
+    ("condition not in the provision", {"condition_words": "with consent"}),
+    ("party not in the provision", {"duty_bearer": "a carrier", "condition_words": "with consent"}),
+]
+
+
+@query("v01_rejections", "SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, {_sql(r)})" for i, (r, _) in enumerate(_REJECTIONS)) + ") v(id, rejection)")
+def v01(t):
+    """Why a reading does not count, by the first reason that holds."""
+    kinds = {"allowed": "boolean", "scope_stated": "boolean"}
+    names = ["allowed", "text", "heading", "quote", "measure", "gloss", "name", "scope_stated", "sector_scope", "sector", *[c for c, _ in D.CLAIMS if c[0] != "="]]
+    rows = [(i + 1, *[(_READING | said).get(c) for c in names]) for i, (_, said) in enumerate(_REJECTIONS)]
+    return D.rejected(literal(t, rows, "id int, " + ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names))).select("id", "rejection")
+
+
+@query("v02_answers_coerced", """SELECT * FROM (VALUES (1, false, '7.5', 'must keep', 'access', NULL), (2, false, '6.1', 'must keep', 'storage', NULL), (3, false, '9.9', 'must keep', NULL, NULL), (4, true, NULL, NULL, NULL, NULL), (5, true, NULL, NULL, NULL, NULL),
+(6, false, '6.1', 'x', NULL, 'duty_force, mandatory, bearer'), (7, true, NULL, NULL, NULL, NULL)) v(id, unreadable, indicator, quote, measure, missing)""")
+def v02_coerced(t):
+    facts = '"duty_force": "requires", "mandatory": true, "bearer": "organisation"'
+    rows = [
+        (1, '{"indicator": "7.3", "quote": "must keep", "measure": " access ", ' + facts + "}"),
+        (2, '{"indicator": "6.1", "quote": " must keep ", "measure": "storage", ' + facts + "}"),
+        (3, '{"indicator": "9.9", "quote": "must keep", "measure": "storage", ' + facts + "}"),
+        (4, '{"indicator": "6.1", "quote": " N/A ", "measure": "storage", ' + facts + "}"),
+        (5, "not an object"),
+        (6, '{"indicator": "6.1", "quote": "x", "measure": "none", "duty_force": "suggests"}'),
+        (7, None),
+    ]
+    known = literal(t, [("7.5", "access"), ("6.1", "storage"), ("6.2", "storage")], "indicator string, measure string")
+    return D.coerced(literal(t, rows, "id int, answer string"), known)
