@@ -58,17 +58,6 @@ def j12(t):
     return t("conversations").groupBy("conv_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("term")).agg(F.min("turn").alias("defined_at"))
 
 
-@query("j14_translation_pairs", """
-WITH a AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE lang = 'en'), b AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE lang = 'fr')
-SELECT a.doc_id, b.doc_id AS translation FROM a JOIN b USING (source, k) WHERE b.n_chars BETWEEN 0.5 * a.n_chars AND 2.2 * a.n_chars""")
-def j14(t):
-    """One-to-one in order within an owner, if the lengths agree."""
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    a = t("documents").where("lang = 'en'").select("source", "doc_id", "n_chars", nth.alias("k"))
-    b = t("documents").where("lang = 'fr'").select("source", F.col("doc_id").alias("translation"), F.col("n_chars").alias("m"), nth.alias("k"))
-    return a.join(b, ["source", "k"]).where("m between 0.5 * n_chars and 2.2 * n_chars").select("doc_id", "translation")
-
-
 @query("j22_carried_readings", "SELECT min(doc_id) AS doc_id, source, lang, n_chars % 5 AS measure FROM (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT * FROM documents) GROUP BY source, lang, n_chars % 5")
 def j22(t):
     """Findings of an earlier run and of this one, each once."""
