@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 
 # Typographic signs that quotes are compared without.
 CURLY, STRAIGHT = "‘’‚‛“”„‟‐‑‒–—− ", "''''\"\"\"\"------ "
-# Frequent function words of each language.
-FUNCTION_WORDS = {
-    "en": ("the", "of", "and", "to", "in", "is", "that", "for", "with", "was"),
-    "de": ("der", "die", "das", "und", "ist", "von", "den", "nicht", "mit", "ein"),
-    "fr": ("le", "la", "les", "des", "est", "et", "une", "dans", "que", "pour"),
-    "es": ("el", "los", "las", "del", "que", "una", "por", "con", "para", "en"),
-}
-MIN_SHARE, MIN_MARGIN, MIN_WORDS = 0.06, 0.015, 8
 
 
 def quote_key(c: Column) -> Column:
@@ -47,21 +39,6 @@ def host(c: Column) -> Column:
     return F.regexp_extract(F.lower(c), r"^[a-z]+://([^/?#:]+)", 1)
 
 
-def word_share(c: Column, words: tuple[str, ...]) -> Column:
-    """The part of the words that is in a list of function words."""
-    every = F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.char_length(w) > 0)
-    return F.size(F.filter(every, lambda w: w.isin(*words))) / F.greatest(F.size(every), F.lit(1))
-
-
-def language(c: Column) -> Column:
-    """The language whose function words are clearly the most frequent, else null (Latin script only)."""
-    shares = F.array(*[F.struct(word_share(c, w).alias("share"), F.lit(k).alias("lang")) for k, w in FUNCTION_WORDS.items()])
-    best = F.sort_array(shares, asc=False)
-    enough = F.size(F.filter(F.split(c, r"[^\p{L}]+"), lambda w: F.char_length(w) > 0)) >= MIN_WORDS
-    clear = (best[0]["share"] >= MIN_SHARE) & (best[0]["share"] - best[1]["share"] >= MIN_MARGIN)
-    return F.when(enough & clear, best[0]["lang"])
-
-
 def money(c: Column) -> Column:
     """The first amount with a currency sign or code, in units, or null."""
     found = F.regexp_extract(c, r"(?:USD|EUR|\$|€)\s?([0-9][0-9,]*(?:\.[0-9]+)?)", 1)

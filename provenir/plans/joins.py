@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import ledger as L
 from ..operators import ordering as O
+from ..operators import versions as V
 
 
 @query("j01_inner_chain", "SELECT l_orderkey, l_linenumber, o_orderdate, c_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity > 45")
@@ -101,13 +102,22 @@ def j16(t):
     return L.bare_copies(marked, "text", "source", F.coalesce(F.col("quality") == 1, F.lit(False))).select("doc_id")
 
 
-@query("j17_version_pairs", """
-WITH a AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 2 = 0), b AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 2 = 1)
-SELECT coalesce(a.source, b.source) AS source, coalesce(a.lang, b.lang) AS lang, a.doc_id AS first_id, b.doc_id AS second_id, CASE WHEN b.doc_id IS NULL THEN 'first only' WHEN a.doc_id IS NULL THEN 'second only' ELSE 'both' END AS outcome FROM a FULL JOIN b USING (source, lang, rn)""")
+@query("j17_version_pairs", r"""
+WITH c AS (SELECT conv_id, turn, turn % 2 AS side, left(text, 1) AS indicator, role AS url, lower(trim(regexp_replace(split_part(text, ' ', 1), '\s+', ' ', 'g'))) AS quote FROM conversations),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(indicator), quote, side ORDER BY turn) AS r FROM c),
+p1 AS (SELECT a.conv_id, a.turn AS first_id, b.turn AS second_id FROM n1 a JOIN n1 b ON a.conv_id = b.conv_id AND lower(a.indicator) = lower(b.indicator) AND a.quote = b.quote AND a.r = b.r AND a.side = 0 AND b.side = 1),
+n2 AS (SELECT c.*, row_number() OVER (PARTITION BY c.conv_id, lower(indicator), side ORDER BY turn) AS r FROM c WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.conv_id = c.conv_id AND c.turn IN (first_id, second_id))),
+p2 AS (SELECT a.conv_id, a.turn AS first_id, b.turn AS second_id FROM n2 a JOIN n2 b ON a.conv_id = b.conv_id AND lower(a.indicator) = lower(b.indicator) AND a.r = b.r AND a.side = 0 AND b.side = 1),
+n3 AS (SELECT n2.* EXCLUDE r, row_number() OVER (PARTITION BY n2.conv_id, side ORDER BY turn) AS r FROM n2 WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.conv_id = n2.conv_id AND n2.turn IN (first_id, second_id))),
+p3 AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, a.turn AS first_id, b.turn AS second_id FROM (SELECT * FROM n3 WHERE side = 0) a FULL JOIN (SELECT * FROM n3 WHERE side = 1) b ON a.conv_id = b.conv_id AND a.r = b.r),
+p AS (SELECT *, 1 AS pass FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, CASE WHEN first_id IS NULL OR second_id IS NULL THEN 0 ELSE 3 END FROM p3)
+SELECT p.conv_id, first_id, second_id, pass, CASE WHEN second_id IS NULL THEN 'A' WHEN first_id IS NULL THEN 'B' ELSE 'both' END AS found_by,
+  coalesce(lower(a.indicator) <> lower(b.indicator), false) AS indicator_differs, coalesce(a.url <> b.url, false) AS citation_differs, coalesce(a.quote <> b.quote, false) AS quote_differs
+FROM p LEFT JOIN c a ON a.conv_id = p.conv_id AND a.turn = first_id LEFT JOIN c b ON b.conv_id = p.conv_id AND b.turn = second_id""")
 def j17(t):
-    """Two runs set side by side: paired in order within a key, what is left stands alone."""
-    d = t("documents").select("source", "lang", "doc_id")
-    return L.paired(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), ["source", "lang"], "doc_id")
+    """The even turns of a conversation against its odd ones, paired by first letter and first word, by first letter, by order."""
+    c = t("conversations").select("conv_id", "turn", F.left("text", F.lit(1)).alias("indicator"), F.split_part("text", F.lit(" "), F.lit(1)).alias("quote"), F.col("role").alias("url"))
+    return V.compared(c.where("turn % 2 = 0"), c.where("turn % 2 = 1"), ["conv_id"], "turn").drop("how_they_differ")
 
 
 @query("j18_nearest_partner", """

@@ -9,37 +9,6 @@ from ..catalog import query
 from ..functions import text as T
 
 
-def _words(t):
-    return t("part").select("p_partkey", "p_brand", F.explode(F.array_distinct(F.split(F.lower("p_name"), "[^a-z0-9]+"))).alias("term")).where(F.char_length("term") >= 3)
-
-
-_WORDS = "w AS (SELECT DISTINCT p_partkey, p_brand, unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS term FROM part), w3 AS (SELECT * FROM w WHERE length(term) >= 3)"
-
-
-@query("k07_kind_before_top", f"WITH {_WORDS}, i AS (SELECT term, ln(1 + (SELECT count(*) FROM part) / count(*)) AS idf FROM w3 GROUP BY term), s AS (SELECT p_partkey, round(sum(idf), 6) AS score FROM w3 JOIN i USING (term) WHERE p_brand = 'Brand#11' GROUP BY p_partkey) SELECT p_partkey, score, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank FROM s QUALIFY rank <= 40")
-def k07(t):
-    """The kind is filtered before the ranking, so the list is full of that kind; statistics stay those of all titles."""
-    n = float(t("part").count())
-    idf = _words(t).groupBy("term").agg(F.log(1 + n / F.count("*")).alias("idf"))
-    s = _words(t).where("p_brand = 'Brand#11'").join(idf, "term").groupBy("p_partkey").agg(F.round(F.sum("idf"), 6).alias("score"))
-    return s.orderBy(F.desc("score"), "p_partkey").limit(40).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "p_partkey")))
-
-
-@query("k08_register_shortlist", f"""WITH {_WORDS}, i AS (SELECT term, ln(1 + (SELECT count(*) FROM part) / count(*)) AS idf FROM w3 GROUP BY term),
-s AS (SELECT p_partkey, round(sum(idf), 6) AS score FROM w3 JOIN i USING (term) GROUP BY p_partkey), a AS (SELECT p_partkey, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank FROM s QUALIFY rank <= 40),
-b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 40), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
-SELECT p_partkey, round(sum(1.0::DOUBLE / (60 + rank)) / CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END, 8) AS score FROM u GROUP BY p_partkey ORDER BY 2 DESC, 1 LIMIT 25""")
-def k08(t):
-    """Two channels fused, divided by the runs that could have returned the title, cut at 25."""
-    n = float(t("part").count())
-    idf = _words(t).groupBy("term").agg(F.log(1 + n / F.count("*")).alias("idf"))
-    s = _words(t).join(idf, "term").groupBy("p_partkey").agg(F.round(F.sum("idf"), 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(40)
-    a = s.select("p_partkey", F.row_number().over(Window.orderBy(F.desc("score"), "p_partkey")).alias("rank"))
-    b = t("part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(40).select("p_partkey", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
-    fused = a.unionByName(b).groupBy("p_partkey").agg(F.sum(1.0 / (60 + F.col("rank"))).alias("s"))
-    return fused.select("p_partkey", F.round(F.col("s") / F.when(F.col("p_partkey") % 2 == 0, 2).otherwise(1), 8).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(25)
-
-
 @query("k13_contents", "SELECT conv_id, string_agg(role || ':' || length(text), ' | ' ORDER BY turn) AS contents FROM conversations GROUP BY conv_id")
 def k13(t):
     parts = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(":"), F.char_length("text").cast("string")).alias("x"))))

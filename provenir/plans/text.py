@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import language as G
 from ..functions import text as T
 
 _WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}\\p{M}]+'), lambda w: length(w) >= 3)"
@@ -21,19 +22,39 @@ def t05(t):
     return t("documents").select("doc_id", F.md5(T.quote_key(F.col("text"))).alias("key"))
 
 
-_SHARE = "len(list_filter(w, lambda x: x IN ({words}))) / greatest(len(w), 1)"
-
-
-def _language_sql() -> str:
-    shares = ", ".join("{'share': " + _SHARE.format(words=", ".join(f"'{x}'" for x in w)) + f", 'lang': '{k}'" + "}" for k, w in T.FUNCTION_WORDS.items())
-    return f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: length(x) > 0) AS w FROM documents),
-s AS (SELECT doc_id, len(w) AS n, list_reverse_sort([{shares}]) AS s FROM w)
-SELECT doc_id, CASE WHEN n >= 8 AND s[1].share >= 0.06 AND s[1].share - s[2].share >= 0.015 THEN s[1].lang END AS lang FROM s"""
+#: German is read in the given tables beside the languages of the register.
+WORDS = {**G.FUNCTION_WORDS, "de": "der die das und ist von den nicht mit ein zu auf für im des dem eine werden nach sich".split()}
+
+
+def _language_sql(table: str, key: str) -> str:
+    return f"""
+WITH f(lang, words) AS (VALUES
+  ('en', ['the','of','and','to','in','any','shall','for','or','by','that','this','under','with','is','be','may','not','person','section']),
+  ('ms', ['yang','dan','atau','dengan','kepada','bagi','adalah','tidak','ini','itu','hendaklah','seksyen','mana-mana','di','dalam','oleh','pada','akta','boleh','tersebut']),
+  ('id', ['yang','dan','atau','dengan','kepada','bagi','adalah','tidak','ini','itu','wajib','pasal','dalam','oleh','pada','undang-undang','dapat','dimaksud','ayat','setiap']),
+  ('vi', ['của','và','các','trong','được','có','không','này','cho','theo','về','điều','khoản','người','hoặc','với','là','quy','định','phải']),
+  ('pt', ['de','da','do','que','não','para','com','uma','por','os','as','no','na','artigo','ser','pode','deve','dos','das','este']),
+  ('es', ['de','la','que','el','en','los','del','las','por','con','para','una','artículo','ser','no','se','su','al','este','deberá']),
+  ('fr', ['de','la','le','les','des','et','à','en','du','un','une','que','pour','dans','par','article','est','qui','sur','aux']),
+  ('tet', ['no','ba','iha','ho','mak','nia','atu','ne','husi','artigu','tenke','bele','katak','hotu','ida']),
+  ('de', ['der','die','das','und','ist','von','den','nicht','mit','ein','zu','auf','für','im','des','dem','eine','werden','nach','sich'])),
+t AS (SELECT {key}, text, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS latin, length(regexp_replace(text, '[^\u0E00-\u0E7F]+', '', 'g')) AS thai, length(regexp_replace(text, '[^\u0400-\u04FF]+', '', 'g')) AS cyrillic FROM {table}),
+w AS (SELECT {key}, unnest(string_split_regex(regexp_replace(lower(text), '[^\\p{{L}}\\s-]+', ' ', 'g'), '\\s+')) AS word FROM t WHERE latin >= 40),
+n AS (SELECT {key}, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL HAVING count(*) >= 8),
+s AS (SELECT {key}, lang, count(*) / any_value(n) AS share FROM w JOIN n USING ({key}) JOIN (SELECT lang, unnest(words) AS word FROM f) USING (word) GROUP BY {key}, lang),
+b AS (SELECT {key}, lang, share, coalesce(lead(share) OVER (PARTITION BY {key} ORDER BY share DESC), 0) AS second, row_number() OVER (PARTITION BY {key} ORDER BY share DESC, lang) AS r FROM s)
+SELECT {key}, CASE WHEN thai > 3 AND thai > latin THEN 'th' WHEN cyrillic > 3 AND cyrillic > latin THEN 'ru' WHEN share >= 0.06 AND share - second >= 0.015 THEN lang END AS lang
+FROM t LEFT JOIN b ON r = 1 AND {" AND ".join(f"b.{k.strip()} = t.{k.strip()}" for k in key.split(","))}""".replace(f"SELECT {key}, CASE", "SELECT " + ", ".join(f"t.{k.strip()}" for k in key.split(",")) + ", CASE")
+
+
+@query("t10_language", _language_sql("documents", "doc_id"))
+def t10(t):
+    return t("documents").select("doc_id", G.detected(F.col("text"), words=WORDS).alias("lang"))
 
 
-@query("t10_language", _language_sql())
-def t10(t):
-    return t("documents").select("doc_id", T.language(F.col("text")).alias("lang"))
+@query("t10_turn_language", _language_sql("conversations", "conv_id, turn"))
+def t10_turns(t):
+    return t("conversations").select("conv_id", "turn", G.detected(F.col("text"), words=WORDS).alias("lang"))
 
 
 @query("t13_url_key", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://(www\\.)?', ''), '[?#].*$', ''), '/+$', '') AS key FROM pages")

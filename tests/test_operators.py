@@ -47,11 +47,6 @@ def test_damaged_vectors_fail_loudly(spark):
         R.checked_vectors(df, 2).collect()
 
 
-def test_languages(spark):
-    df = spark.createDataFrame([("the law of the land is in force and the court is bound",), ("der Staat und die Bürger mit den Rechten von der Verfassung",), ("too short",), (None,)], "t string")
-    assert [r[0] for r in df.select(T.language(F.col("t"))).collect()] == ["en", "de", None, None]
-
-
 def test_first_gate_decides_and_unknown_is_not_false(spark):
     gates = (rules.Gate("A", "ruled out*", "a", "x > 1"), rules.Gate("B", "held", "b", "x = 3 or y"))
     df = spark.createDataFrame([(3, None, "en"), (3, None, "ru"), (None, True, "en"), (None, None, "en")], "x int, y boolean, language string")
