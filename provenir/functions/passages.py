@@ -5,28 +5,48 @@ from __future__ import annotations
 import json
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
+
+from .approximate import LAO_AM, LAO_HALVES, UNSPOKEN
 
 # Typographic signs and what they count as in a quote.
-SIGNS, PLAIN = "‘’‚‛“”„‟‐‑‒–—− ", "''''\"\"\"\"------ "
+SIGNS, PLAIN = "‘’‚‛′‐‑‒–—―−İ", "'''''-------i"
 #: The least of a fragment, of the longest one, and of all together, in an elided quote.
 FRAGMENT, ANCHOR, TOTAL = 3, 12, 40
-#: A near quote's least length, the part of it that must match, how far it may stretch, and its seeds.
-NEAR_LEAST, NEAR_MATCH, NEAR_STRETCH, SEED = 20, 0.92, 1.35, 8
+# White space of all kinds; signs that are set around words and not spoken; Lao letters; Thai marks that sit on a letter.
+_WHITE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+_SIGN, _LAO, _THAI_MARK = "[" + UNSPOKEN + "]", "[຀-໿]", "[ัิ-ฺ็-๎]"
 
 
 def folded(c: Column) -> Column:
     """Lower case and plain signs, character for character, so that places stay what they were."""
-    return F.translate(F.lower(c), SIGNS, PLAIN)
+    return F.lower(F.translate(c, SIGNS, PLAIN))
+
+
+def _spoken(c: Column) -> Column:
+    """A folded wording without the signs that are not spoken, white space single, ends trimmed; Lao AM in one piece."""
+    return F.trim(F.regexp_replace(F.replace(F.regexp_replace(c, _SIGN, ""), F.lit(LAO_HALVES), F.lit(LAO_AM)), f"{_WHITE}+", " "))
 
 
 def _pattern(fragment: Column) -> Column:
-    """A folded fragment as a pattern: its signs as they are, any white space where it has some."""
-    return F.regexp_replace(F.regexp_replace(fragment, r"([^\p{L}\p{N}\p{M}\s])", r"\\$1"), r"\s+", r"\\s+")
+    """A spoken fragment as a pattern over a folded text, which may be set with signs and any white space.
+
+    Between two Lao letters, and before a mark that sits on a Thai letter, the text may have a blank.
+    """
+
+    def one(c: Column) -> Column:
+        own = F.when(c == " ", f"{_WHITE}(?:{_WHITE}|{_SIGN})*").when(c == LAO_AM, f"(?:{LAO_AM}|{LAO_HALVES})").otherwise(F.concat(F.lit(r"\Q"), c, F.lit(r"\E")))
+        before = F.when(c.rlike(_THAI_MARK), f"{_WHITE}*").when(c.rlike(_LAO), f"(?:(?<={_LAO}){_WHITE}+)?").otherwise("")
+        return F.concat(before, own)
+
+    return F.array_join(F.transform(F.regexp_extract_all(fragment, F.lit("(?s)."), F.lit(0)), one), f"{_SIGN}*")
+
+
+def _fragments(quote: Column) -> Column:
+    return F.filter(F.transform(F.split(folded(quote), r"\.\.\.|…"), _spoken), lambda p: p != "")
 
 
 def quote_pattern(quote: Column) -> Column:
@@ -35,8 +55,7 @@ def quote_pattern(quote: Column) -> Column:
     A quote with gaps counts as elided only if its fragments carry enough words; a short fragment
     must stand as whole words. An empty quote has no pattern.
     """
-    whole = F.trim(folded(quote))
-    parts = F.filter(F.transform(F.split(whole, r"\s*(?:\.\.\.|…)\s*"), F.trim), lambda p: p != "")
+    whole, parts = _spoken(folded(quote)), _fragments(quote)
     size = F.transform(parts, F.char_length)
     elided = whole.rlike(r"\.\.\.|…") & (F.size(parts) > 1) & (F.array_min(size) >= FRAGMENT) & (F.array_max(size) >= ANCHOR) & (F.char_length(F.array_join(parts, " ")) >= TOTAL)
     edge = "[a-z0-9Ѐ-ӿ]"
@@ -46,71 +65,22 @@ def quote_pattern(quote: Column) -> Column:
 
 def phrase_in(text: Column, phrase: Column) -> Column:
     """Whether a folded text holds a phrase of three characters or more, its fragments in order at any distance."""
-    parts = F.filter(F.transform(F.split(F.trim(folded(phrase)), r"\s*(?:\.\.\.|…)\s*"), F.trim), lambda p: p != "")
+    parts = _fragments(phrase)
     enough = (F.size(parts) > 0) & F.forall(parts, lambda p: F.char_length(p) >= FRAGMENT)
     return F.coalesce(enough & F.rlike(text, F.array_join(F.transform(parts, _pattern), r"[\s\S]*?")), F.lit(False))
 
 
 def quote_span(text: Column, quote: Column) -> Column:
-    """Where a quote stands in a text: struct(start, end) in characters, end excluded; null if it does not."""
+    """Where a quote stands in a text: struct(start, end) in characters, end excluded; null if it does not.
+
+    The start is the length of what stands before, so characters of two code units count as one.
+    """
     pattern, low = quote_pattern(quote), folded(text)
     found = F.regexp_substr(low, pattern)
-    start = F.regexp_instr(low, pattern) - 1
+    start = F.char_length(F.call_function("regexp_extract", low, F.concat(F.lit(r"^([\s\S]*?)(?:"), pattern, F.lit(")")), F.lit(1)))
     return F.when(found.isNotNull(), F.struct(start.alias("start"), (start + F.char_length(found)).alias("end")))
 
 
-def aligned(quote: str, text: str) -> tuple[int, int, int]:
-    """(start, end, matched): the part of ``text`` with the fewest edits from ``quote``, and the characters they share in order."""
-    q, t = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (quote, text))
-    place = np.arange(len(t) + 1)
-    cost = np.zeros((len(q) + 1, len(t) + 1), np.int32)
-    cost[:, 0] = np.arange(len(q) + 1)
-    for i in range(1, len(q) + 1):
-        row = np.r_[i, np.minimum(cost[i - 1, :-1] + (t != q[i - 1]), cost[i - 1, 1:] + 1)]
-        cost[i] = np.minimum.accumulate(row - place) + place
-    i, j = len(q), int(cost[-1].argmin())
-    end, matched = j, 0
-    while i and j:
-        if cost[i, j] == cost[i - 1, j - 1] + (q[i - 1] != t[j - 1]):
-            matched, i, j = matched + int(q[i - 1] == t[j - 1]), i - 1, j - 1
-        elif cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return j, end, matched
-
-
-def _near(text: str | None, quote: str | None) -> dict | None:
-    low, q = (text or "").lower(), " ".join((quote or "").lower().split())
-    other = sum("Ѐ" <= c <= "ӿ" or "຀" <= c <= "໿" for c in q)
-    if len(q) < NEAR_LEAST or 2 * other <= sum(c.isalpha() for c in q):
-        return None
-    pad = int(len(q) * (NEAR_STRETCH - 1)) + SEED
-    starts = {max(0, at - o) for o in (0, len(q) // 4, len(q) // 2, 3 * len(q) // 4, len(q) - SEED) for at in _places(low, q[o : o + SEED])}
-    best: tuple[int, int, int] | None = None
-    for s in sorted(starts):
-        low_end = max(0, s - pad)
-        a, b, matched = aligned(q, low[low_end : s + len(q) + pad])
-        if matched >= NEAR_MATCH * len(q) and b - a <= NEAR_STRETCH * len(q) and (best is None or matched > best[2]):
-            best = (low_end + a, low_end + b, matched)
-    return None if best is None else {"start": best[0], "end": best[1]}
-
-
-def _places(text: str, seed: str) -> list[int]:
-    out, at = [], text.find(seed)
-    while at >= 0 and len(out) < 20:
-        out.append(at)
-        at = text.find(seed, at + 1)
-    return out
-
-
-@F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
-def near_span(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
-    """Where nearly all of a quote in Cyrillic or Lao stands, for copies with small slips; nulls if nowhere."""
-    found = [_near(t, q) or {"start": None, "end": None} for t, q in zip(text, quote)]
-    return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
-
-
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode's composed form."""

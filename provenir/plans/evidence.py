@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import approximate as A
 from ..functions import passages as P
 from ..sources import pages as S
 from ..streaming.events import shared_folder
@@ -32,7 +33,7 @@ def t07(t):
     source = "1.2. хувийн мэдээллийг гадаад улсад дамжуулахыг хориглоно."
     rows = [(1, source, "хувийн мэдээлийг гадаад улсад дамжуулахыг"), (2, source, "хувийн нууцыг огт өөр газар хадгалахыг зөвшөөрнө"), (3, "the quick brown fox jumps over the dog", "the quick brwn fox jumps over"), (4, None, None)]
     d = literal(t, rows, "id int, text string, quote string")
-    return d.select("id", P.near_span("text", "quote").alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+    return d.select("id", A.near_span("text", "quote").alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
 
 @query("t01_composed", "SELECT * FROM (VALUES (1, 1), (2, 4), (3, NULL)) v(id, n)")
