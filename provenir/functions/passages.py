@@ -6,7 +6,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -176,3 +176,13 @@ def excepted(exception: Column, government_only: Column, sector: Column, within:
         .when(exception.rlike("(?i)(?:covered|captured) under Pillar") & F.coalesce(sector.rlike(elsewhere), F.lit(False)), "asked in its own pillar")
         .when(exception.isNotNull() & F.coalesce(within, F.lit(False)) & (F.coalesce(target, F.lit("")) != ""), "within the stated exception")
     )
+
+
+def may_govern(instruments: DataFrame, was_read: str = "was_read", kind: str = "kind") -> DataFrame:
+    """Instruments that were read and are no publication; unknown is no."""
+    return instruments.where(F.coalesce(F.col(was_read), F.lit(False)) & (F.col(kind) != "publication"))
+
+
+def read_in_full(readings: DataFrame, failure: str = "failure", unreadable: str = "unreadable") -> DataFrame:
+    """Readings that did not fail and of whose answer no item was unreadable."""
+    return readings.where(F.col(failure).isNull() & (F.coalesce(F.col(unreadable), F.lit(0)) == 0))

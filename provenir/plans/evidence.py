@@ -1,4 +1,4 @@
-"""Quotes in their sources, scripts, charsets and wordings: literal cases with the results worked out by hand, and whole tables."""
+"""Quotes in their sources, slips, scripts, charsets, links and wordings, over the given tables."""
 
 from __future__ import annotations
 
@@ -8,78 +8,107 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import approximate as A
 from ..functions import passages as P
+from ..operators import phrases as H
 from ..sources import pages as S
 from ..streaming.events import shared_folder
 
 
-def literal(t, rows: list[tuple], schema: str) -> DataFrame:
-    return t("region").sparkSession.createDataFrame(rows, schema)
+def _passages(t) -> DataFrame:
+    """(doc_id, item_id, text, passage) of every document that holds a benchmark passage."""
+    hits = H.phrase_hits(t("documents"), t("benchmark")).select("doc_id", "item_id")
+    return hits.join(t("documents").select("doc_id", "text"), "doc_id").join(t("benchmark").select("item_id", F.col("text").alias("passage")), "item_id")
 
 
-SOURCE = "1. The “Minister” may — by order —\n require any   person to provide the data. A mayor may not."
+_WHERE = "SELECT doc_id, item_id, strpos(d.text, b.text) - 1 AS start, strpos(d.text, b.text) - 1 + length(b.text) AS stop FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 60"
 
 
-@query("t06_quote_spans", "SELECT * FROM (VALUES (1, 3, 21), (2, 24, 32), (3, NULL, NULL), (4, 3, 77), (5, 78, 93), (6, NULL, NULL), (7, NULL, NULL), (8, NULL, NULL)) v(id, start, stop)")
+@query("t06_quote_spans", _WHERE)
 def t06(t):
-    """Exact and elided quotes: signs and white space may differ; short fragments are whole words."""
-    quotes = ["the \"minister\" may", "by\n order", "by orders", "The “Minister” may ... require any person … provide the data.", "a MAYOR may not", "may ... order", "", "minister ... ayor ... require any person to provide"]
-    d = literal(t, [(i + 1, SOURCE, q) for i, q in enumerate(quotes)], "id int, text string, quote string")
-    return d.select("id", P.quote_span(F.col("text"), F.col("quote")).alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+    """Passages quoted in lower case, with other blanks and in quotation marks, found where they stand."""
+    quote = F.concat(F.lit("“"), F.regexp_replace(F.lower("passage"), " ", " \n"), F.lit("”"))
+    d = _passages(t).where(F.char_length("passage") > 60).select("doc_id", "item_id", P.quote_span(F.col("text"), quote).alias("s"))
+    return d.select("doc_id", "item_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
 
-@query("t07_near_quotes", "SELECT * FROM (VALUES (1, 5, 47), (2, NULL, NULL), (3, NULL, NULL), (4, NULL, NULL)) v(id, start, stop)")
+def _slipped(c: str) -> F.Column:
+    """A wording without its 15th and with another 40th character."""
+    return F.concat(F.substring(c, 1, 14), F.substring(c, 16, 24), F.lit("#"), F.expr(f"substring({c}, 41)"))
+
+
+@query("t07_near_quotes", _WHERE)
 def t07(t):
-    """Copies with slips in scripts that readers copy badly; Latin text is never matched this way."""
-    source = "1.2. хувийн мэдээллийг гадаад улсад дамжуулахыг хориглоно."
-    rows = [(1, source, "хувийн мэдээлийг гадаад улсад дамжуулахыг"), (2, source, "хувийн нууцыг огт өөр газар хадгалахыг зөвшөөрнө"), (3, "the quick brown fox jumps over the dog", "the quick brwn fox jumps over"), (4, None, None)]
-    d = literal(t, rows, "id int, text string, quote string")
-    return d.select("id", A.near_span("text", "quote").alias("s")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+    """Passages quoted with two slips, found where they stand."""
+    d = _passages(t).where(F.char_length("passage") > 60).select("doc_id", "item_id", A.near_span_any("text", _slipped("passage")).alias("s"))
+    return d.select("doc_id", "item_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
 
-@query("t01_composed", "SELECT * FROM (VALUES (1, 1), (2, 4), (3, NULL)) v(id, n)")
-def t01(t):
-    d = literal(t, [(1, "é"), (2, "café"), (3, None)], "id int, text string")
-    return d.select("id", F.char_length(P.nfc("text")).alias("n"))
+@query("t09_passages_with_slips", "SELECT doc_id, item_id, 2 AS edits FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 60")
+def t09(t):
+    """Every benchmark passage is given two slips; which documents hold it within three edits, and with how many."""
+    slipped = t("benchmark").where(F.char_length("text") > 60).select("item_id", _slipped("text").alias("text"))
+    return H.approximate_hits(t("documents"), slipped, 3).select("doc_id", "item_id", "edits")
 
 
-@query("t02_thai_marks", "SELECT * FROM (VALUES (1, 'น้ำ'), (2, 'ซ้าซ้อน'), (3, 'ຄຳ'), (4, 'ไทย ดี')) v(id, text)")
-def t02(t):
-    d = literal(t, [(1, "น้ํา"), (2, "ซ ้าซ้อน"), (3, "ຄໍາ"), (4, "ไทย ดี")], "id int, text string")
-    return d.select("id", P.marks_rejoined(P.am_folded(F.col("text"))).alias("text"))
+@query("t01_composed", "SELECT doc_id, md5(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) AS composed FROM documents")
+def t01(t):
+    """Texts whose letters e carry an accent of their own, composed."""
+    return t("documents").select("doc_id", F.md5(P.nfc(F.replace("text", F.lit("e"), F.lit("e\u0301")))).alias("composed"))
 
 
-@query("t04_phrases", "WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS p FROM documents) SELECT doc_id, CASE WHEN length(replace(p, ' ', '')) >= 3 THEN md5(p) END AS phrase FROM p")
-def t04(t):
-    return t("documents").select("doc_id", F.md5(P.phrase(F.col("text"))).alias("phrase"))
+@query("t02_thai_marks", """
+WITH a AS (SELECT doc_id, replace(translate(text, 'aeiou', 'ซ ้ํา'), 'ํา', 'ำ') AS x FROM documents), b AS (SELECT doc_id, regexp_replace(x, '([฀-๿]) ([ัิ-ฺ็-๎])', '\\1\\2', 'g') AS x FROM a)
+SELECT doc_id, md5(regexp_replace(x, '([฀-๿]) ([ัิ-ฺ็-๎])', '\\1\\2', 'g')) AS joined FROM b""")
+def t02(t):
+    """Vowels written as Thai letters, marks and blanks: the vowel AM in one piece, marks on their letters."""
+    thai = F.translate("text", "aeiou", "ซ ้ํา")
+    return t("documents").select("doc_id", F.md5(P.marks_rejoined(P.am_folded(thai))).alias("joined"))
 
 
-@query("r05_json_in_prose", """SELECT * FROM (VALUES (1, '{"a": {"b": "}"}}'), (2, '{"x": 1}'), (3, NULL), (4, NULL), (5, '{}')) v(id, object)""")
+@query("r05_json_in_prose", """SELECT conv_id, turn, '{"turn": ' || turn || ', "by": {"role": "' || role || '}"}}' AS object FROM conversations""")
 def r05(t):
-    rows = [(1, 'Here it is: {"a": {"b": "}"}} and more }'), (2, "{not json} ```json\n{\"x\": 1}\n```"), (3, "no braces"), (4, None), (5, "{} {\"y\": 2}")]
-    return literal(t, rows, "id int, text string").select("id", P.json_in("text").alias("object"))
+    """The first balanced object in a turn that has one in its midst."""
+    own = F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit(', "by": {"role": "'), "role", F.lit('}"}}'))
+    prose = F.concat("text", F.lit(" {not an object} "), own, F.lit(" } "), "text")
+    return t("conversations").select("conv_id", "turn", P.json_in(prose).alias("object"))
 
 
-@query("s10_charsets", "SELECT * FROM (VALUES (1, 'utf-8'), (2, 'utf-16le'), (3, 'windows-1251'), (4, 'utf-8'), (5, 'windows-1251'), (6, 'utf-8'), (7, 'koi8-r'), (8, 'utf-8')) v(id, charset)")
+@query("s10_charsets", """SELECT page_id, CASE WHEN contains(url, 'example.net') THEN 'utf-16be' WHEN contains(url, 'example.org') AND regexp_matches(html, '[\u0080-\u00FF]') THEN 'iso-8859-1' ELSE 'utf-8' END AS charset FROM pages""")
 def s10(t):
-    legacy = "закон".encode("windows-1251")
-    rows = [
-        (1, b"\xef\xbb\xbfx", "windows-1251", "text/html"),
-        (2, b"\xff\xfea\x00", None, "text/html"),
-        (3, legacy, "Windows-1251", "text/html"),
-        (4, "закон".encode(), "windows-1251", "text/html"),
-        (5, b"<meta charset='windows-1251'>" + legacy, None, "text/html"),
-        (6, b"<meta charset='windows-1251'>" + legacy, None, "text/plain"),
-        (7, b'<?xml version="1.0" encoding="koi8-r"?>' + legacy, None, None),
-        (8, None, None, None),
-    ]
-    d = literal(t, rows, "id int, body binary, header string, media string")
-    return d.select("id", P.charset(F.col("body"), F.col("header"), F.col("media")).alias("charset"))
-
-
-@query("p12_standing", "SELECT * FROM (VALUES (1, 'in-force'), (2, 'repealed'), (3, NULL), (4, NULL), (5, 'in-force'), (6, NULL)) v(id, standing)")
+    """Pages served in three encodings, under headers that are right, wrong and absent."""
+    net, org = F.col("url").contains("example.net"), F.col("url").contains("example.org")
+    body = F.when(net, F.encode("html", "UTF-16")).when(org, F.encode("html", "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
+    header = F.when(net, "windows-1251").when(org, "ISO-8859-1").when(F.col("url").startswith("https"), "windows-1251")
+    return t("pages").select("page_id", P.charset(body, header, F.lit("text/html")).alias("charset"))
+
+
+@query("s22_running_headers", "SELECT source AS doc, 'Collected writings of the house of ' || source AS header FROM documents GROUP BY source HAVING count(*) > 3")
+def s22(t):
+    """Each source as one long work whose pages are its documents, under a header of two lines."""
+    lines = F.concat(F.array(F.lit("Collected writings"), F.concat(F.lit("of the  house of "), "source"), F.concat(F.lit("page "), "doc_id")), F.split("text", "\n"))
+    return S.running_headers(t("documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(lines).alias("i", "line")))
+
+
+@query("p11_links_worth_opening", r"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>[^<]*</a>')) AS link FROM pages), l AS (SELECT page_id, lower(regexp_extract(link, 'href="([^"]*)"', 1)) AS path, lower(regexp_extract(link, '>([^<]*)<', 1)) AS words FROM a)
+SELECT page_id, count(*) AS links, count(*) FILTER (regexp_matches(path || ' ' || words, '\b(legislat\w*|legal|regulat\w*|licen[cs]\w*|regist\w*|(instrument|document|gazette|code|guideline|standard|act|rule|order|determination|direction|directive|circular|notice)s?|statut\w*|polic(y|ies)|complian\w*|enforce\w*)\b')
+  AND NOT regexp_matches(path, '\b(news|media|press|(event|career|video|podcast)s?|vacanc(y|ies)|contact|about-us|search|login|subscribe|rss|calendar|galler(y|ies))\b')) AS opens FROM l GROUP BY page_id""")
+def p11(t):
+    """The links of each page, and how many of them may lead to law."""
+    link = F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="[^"]*"[^>]*>[^<]*</a>'), F.lit(0)))
+    links = t("pages").select("page_id", link.alias("a")).select("page_id", F.regexp_extract("a", 'href="([^"]*)"', 1).alias("path"), F.regexp_extract("a", ">([^<]*)<", 1).alias("words"))
+    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(P.worth_opening(F.col("path"), F.col("words"))).alias("opens"))
+
+
+@query("p12_standing", """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'in-force' WHEN 'F' THEN 'repealed' END AS standing FROM orders""")
 def p12(t):
-    rows = [(1, "Register Of Current Voluntary Codes"), (2, "Past  decisions"), (3, "Current and Repealed Codes"), (4, None), (5, "Laws in\nforce, in-force rules"), (6, "currently")]
-    return literal(t, rows, "id int, heading string").select("id", P.standing(F.col("heading")).alias("standing"))
+    """Orders listed under headings that say what they are; the heading of the third list says both."""
+    heading = F.concat(F.when(F.col("o_orderstatus") == "O", "Register of  current").when(F.col("o_orderstatus") == "F", "Archived").otherwise("Existing and past"), F.lit("\n orders of "), F.year("o_orderdate").cast("string"))
+    return t("orders").select("o_orderkey", P.standing(heading).alias("standing"))
+
+
+@query("t04_phrases", "WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS p FROM documents) SELECT doc_id, CASE WHEN length(replace(p, ' ', '')) >= 3 THEN md5(p) END AS phrase FROM p")
+def t04(t):
+    return t("documents").select("doc_id", F.md5(P.phrase(F.col("text"))).alias("phrase"))
 
 
 @query("d03_ago", """
@@ -101,49 +130,26 @@ def s33(t):
     return d.sparkSession.read.schema("doc_id string, quality string, toxic string").option("escape", '"').csv(path)
 
 
-@query("p11_links_worth_opening", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false)) v(id, opens)")
-def p11(t):
-    rows = [(1, "/legislation/acts", "Browse"), (2, "/news/acts", "New Acts"), (3, "/home", "Welcome"), (4, None, "Codes of practice"), (5, "/practice", "Practices")]
-    return literal(t, rows, "id int, path string, text string").select("id", P.worth_opening(F.col("path"), F.col("text")).alias("opens"))
-
-
-@query("p14_may_govern", "SELECT * FROM (VALUES (1), (4)) v(id)")
+@query("p14_may_govern", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE length(text) > 0 AND toxic = 0")
 def p14(t):
-    """An instrument governs if it was read and is no publication."""
-    d = literal(t, [(1, True, "act"), (2, False, "act"), (3, True, "publication"), (4, True, "rule"), (5, None, "act")], "id int, was_read boolean, kind string")
-    return d.where("was_read and kind <> 'publication'").select("id")
+    """An instrument governs if it was read and is no publication; here what is marked toxic is only published."""
+    kind = F.when(F.col("toxic") == 1, "publication").otherwise("act")
+    return P.may_govern(t("documents").join(t("labels"), "doc_id").select("doc_id", (F.char_length("text") > 0).alias("was_read"), kind.alias("kind"))).select("doc_id")
 
 
-@query("p15_read_in_full", "SELECT * FROM (VALUES (1), (4)) v(id)")
+@query("p15_read_in_full", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) % 2 = 0 AND count(*) FILTER (contains(text, '***')) = 0")
 def p15(t):
-    """A provision is read in full if nothing failed and no item of the answer was unreadable."""
-    d = literal(t, [(1, None, 0), (2, "timeout", 0), (3, None, 2), (4, None, None)], "id int, failure string, unreadable int")
-    return d.where(F.col("failure").isNull() & (F.coalesce("unreadable", F.lit(0)) == 0)).select("id")
+    """A conversation is read in full if every turn has its answer and none is unreadable."""
+    each = t("conversations").groupBy("conv_id").agg(F.when(F.count(F.lit(1)) % 2 == 1, "unanswered").alias("failure"), F.count_if(F.contains("text", F.lit("***"))).alias("unreadable"))
+    return P.read_in_full(each).select("conv_id")
 
 
-@query("p17_exceptions", "SELECT * FROM (VALUES (1, 'government data'), (2, NULL), (3, 'asked in its own pillar'), (4, 'within the stated exception'), (5, NULL), (6, NULL), (7, NULL)) v(id, reason)")
+@query("p17_exceptions", """
+SELECT doc_id, CASE WHEN quality = 0 AND toxic = 1 THEN 'government data' WHEN quality = 1 AND contains(lower(text), 'licen') THEN 'asked in its own pillar' WHEN quality = 0 AND length(split_part(text, chr(10), 1)) > 0 AND lang <> 'en' THEN 'within the stated exception' END AS reason
+FROM documents JOIN labels USING (doc_id)""")
 def p17(t):
-    rows = [
-        (1, "Excludes government data", True, None, None, None),
-        (2, "Excludes government data", None, None, None, None),
-        (3, "Telecoms are covered under Pillar 5", False, "Telecom operators", None, None),
-        (4, "Excludes small firms", False, "retail", True, "small firms"),
-        (5, "Excludes small firms", False, "retail", True, ""),
-        (6, None, True, "telecom", True, "x"),
-        (7, "Telecoms are covered under Pillar 5", False, None, False, None),
-    ]
-    d = literal(t, rows, "id int, exception string, government boolean, sector string, within boolean, target string")
-    reason = P.excepted(F.col("exception"), F.col("government"), F.col("sector"), F.col("within"), F.col("target"), "(?i)telecom|e-?commerce|online market")
-    return d.select("id", reason.alias("reason"))
-
-
-@query("s22_running_headers", "SELECT * FROM (VALUES ('a', 'Personal Data Protection for the utilities sector')) v(doc, header)")
-def s22(t):
-    """A header of two lines on all pages but one; a short document and one without repeats have none."""
-    rows = []
-    for page in range(6):
-        head = ["Personal Data Protection", "for the  utilities sector"] if page else []
-        rows += [("a", page, i, x) for i, x in enumerate([f"page {page}", *head, f"Some words that only page number {'abcdef'[page]} holds", "........................"])]
-    rows += [("b", page, 0, "A header that is repeated") for page in range(3)]
-    rows += [("c", page, 0, f"A line for each page {'wxyz'[page] * 4}") for page in range(4)]
-    return S.running_headers(literal(t, rows, "doc string, page int, i int, line string"))
+    """Which stated exception takes a document out."""
+    d = t("documents").join(t("labels"), "doc_id")
+    exception = F.when(F.col("quality") == 0, F.lit("Excludes government data and small firms")).otherwise(F.lit("Licences are covered under Pillar 5"))
+    reason = P.excepted(exception, F.col("toxic") == 1, F.col("text"), F.col("lang") != "en", F.when(F.col("quality") == 0, F.split_part("text", F.lit("\n"), F.lit(1))), "(?i)licen")
+    return d.select("doc_id", reason.alias("reason"))
