@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import language as G
+from ..functions import money as M
 from ..functions import text as T
 
 _WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}\\p{M}]+'), lambda w: length(w) >= 3)"
@@ -176,3 +177,24 @@ def z05(t):
     s = L.with_offsets(t("conversations"), "conv_id", "turn", "text")
     parts = s.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("whole"))
     return s.join(parts, "conv_id").where(~F.substring(F.col("whole"), F.col("char_start").cast("int") + 1, F.char_length("text")).eqNullSafe(F.col("text"))).select("conv_id", "turn")
+
+
+@query("m01_sums_in_wordings", """
+SELECT doc_id, CAST(n_chars AS DOUBLE) AS amount, CASE lang WHEN 'en' THEN 'AUD' WHEN 'fr' THEN 'MYR' WHEN 'es' THEN 'INR' ELSE 'THB' END AS currency, lang = 'en' AS assumed FROM documents WHERE n_chars >= 1000
+UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE n_chars < 1000""")
+def m01_wordings(t):
+    """The length of each document as a sum in a wording of its first words: grouped by commas, blanks, lakhs and in Thai digits; short ones state two sums."""
+    n = F.col("n_chars")
+    lead = F.regexp_replace(F.substring("text", 1, 40), "[0-9$]", "")
+    thai = F.translate(F.format_number(n, 0), "0123456789", "๐๑๒๓๔๕๖๗๘๙")
+    crowded = F.when(n >= 100000, F.concat(F.floor(n / 100000).cast("string"), F.lit(","), F.lpad(F.floor(n / 1000 % 100).cast("string"), 2, "0"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"))).otherwise(F.format_number(n, 0))
+    wording = F.when(F.col("lang") == "en", F.concat(F.lit(" not exceeding $"), F.format_number(n, 0))).when(F.col("lang") == "fr", F.concat(F.lit(" of RM "), F.replace(F.format_number(n, 0), F.lit(","), F.lit(" ")))).when(F.col("lang") == "es", F.concat(F.lit(" of "), crowded, F.lit(" rupees"))).otherwise(F.concat(F.lit(" "), thai, F.lit(" บาท")))
+    text = F.concat(lead, wording, F.when(n < 1000, " or US$7.25 under section 12").otherwise(" under section 12"))
+    return t("documents").select("doc_id", M.money(text, F.when(F.col("lang") == "en", "AUS").otherwise("MYS")).alias("m")).select("doc_id", "m.amount", "m.currency", "m.assumed")
+
+
+@query("m01_sums_in_texts")
+def m01_texts(t):
+    """The lines of all documents that state one sum (no twin in SQL; tests hold the grammar against cases)."""
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("doc_id", "line", M.money(F.col("text"), F.lit("AUS")).alias("m")).select("doc_id", "line", "m.amount", "m.currency", "m.assumed").where("amount is not null")
