@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..sources import flight as W
 from ..sources import pages as P
 
 
@@ -75,3 +76,15 @@ def s23(t):
 @query("s08_soft_blocks", "SELECT page_id FROM pages WHERE length(html) < 2000 AND regexp_matches(html, '(?i)captcha|access denied|casino')")
 def s08(t):
     return t("pages").where((F.char_length("html") < 2000) & F.col("html").rlike("(?i)captcha|access denied|casino")).select("page_id")
+
+
+@query("s18_streamed_markup", "SELECT page_id, md5(CASE WHEN starts_with(url, 'https') THEN '<article>' || url || ' 😀 \"é\"</article>' ELSE html END) AS body FROM pages")
+def s18(t):
+    """Pages under https served with their article as a streamed payload in two pieces, put together again; others as they are."""
+    own = F.concat(F.lit("<article>"), "url", F.lit(' 😀 "é"</article>'))
+    stream = F.concat(F.lit('0:["$","div"]\n1a:T'), F.lower(F.hex(F.char_length(own) + 1)), F.lit(","), own, F.lit("\n2:T3,abc"))
+    piece = lambda s: F.concat(F.lit("<script>self.__next_f.push([1,"), F.substring(F.to_json(F.struct(s.alias("x"))), 6, 1 << 30), F.lit("</script>"))
+    # {"x":"..."} without what stands before the string; its closing brace gives way to the end of the call
+    pushed = lambda s: F.regexp_replace(piece(s), r"\}</script>$", "])</script>")
+    html = F.when(F.col("url").startswith("https"), F.concat("html", pushed(F.substring(stream, 1, 25)), pushed(F.substring(stream, 26, 1 << 30)))).otherwise(F.col("html"))
+    return W.served_or_streamed(t("pages").select("page_id", html.alias("html"))).select("page_id", F.md5("body").alias("body"))
