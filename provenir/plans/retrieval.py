@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..catalog import query
+from ..operators import indicator as I
 from ..operators import retrieval as R
 
 #: The terms of the demonstration search, one run each.
@@ -29,12 +30,12 @@ def _bm25_sql(terms: tuple[str, ...]) -> str:
 
 @query("k01_lexical_search", f"WITH {_bm25_sql(TERMS)} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 50")
 def k01(t):
-    return R.ranked(R.bm25(t("documents"), list(TERMS)), [], k=50)
+    return I.lexical_runs(t("documents"), [list(TERMS)], 50).drop("run_no")
 
 
 @query("k02_phrase_search", "WITH " + _bm25_sql(("of the",)) + " SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 50")
 def k02(t):
-    return R.ranked(R.bm25(t("documents"), ["of the"]), [], k=50)
+    return I.lexical_runs(t("documents"), [["of the"]], 50).drop("run_no")
 
 
 @query("a09_bm25_statistics", "SELECT count(*) AS n, round(avg(" + _D + "), 6) AS avg_grams, " + ", ".join(f"count(*) FILTER (contains(lower(text), '{x}')) AS df_{x}" for x in TERMS) + " FROM documents")
@@ -79,10 +80,7 @@ def p20(t):
 def _runs(t):
     """One lexical run a term and one dense run: (run_no, channel, doc_id, rank)."""
     docs = t("documents")
-    out = None
-    for i, term in enumerate(TERMS):
-        run = R.ranked(R.bm25(docs, [term]), [], k=R.PER_QUERY).select(F.lit(i).alias("run_no"), F.lit("lexical").alias("channel"), "doc_id", "rank")
-        out = run if out is None else out.unionByName(run)
+    out = I.lexical_runs(docs, [[term] for term in TERMS], R.PER_QUERY).select("run_no", F.lit("lexical").alias("channel"), "doc_id", "rank")
     dense = R.ranked(t("embeddings").select(F.col("vec_id").alias("doc_id"), R.inner(F.col("embedding"), _query_vector(t)).alias("score")), [], k=R.PER_QUERY)
     dense = dense.join(docs.select("doc_id"), "doc_id", "left_semi")
     return out.unionByName(dense.select(F.lit(len(TERMS)).alias("run_no"), F.lit("dense").alias("channel"), "doc_id", "rank"))
