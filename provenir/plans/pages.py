@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..sources import flight as W
+from ..sources import furniture as U
 from ..sources import pages as P
 
 
@@ -88,3 +89,20 @@ def s18(t):
     pushed = lambda s: F.regexp_replace(piece(s), r"\}</script>$", "])</script>")
     html = F.when(F.col("url").startswith("https"), F.concat("html", pushed(F.substring(stream, 1, 25)), pushed(F.substring(stream, 26, 1 << 30)))).otherwise(F.col("html"))
     return W.served_or_streamed(t("pages").select("page_id", html.alias("html"))).select("page_id", F.md5("body").alias("body"))
+
+
+@query("s21_without_furniture", r"""
+WITH l AS (SELECT source, doc_id, unnest(list_concat(['Collected writings of ' || source, 'Volume ' || doc_id], string_split(text, chr(10)), ['- ' || doc_id || ' -', doc_id::VARCHAR])) AS line, generate_subscripts(list_concat(['', ''], string_split(text, chr(10)), ['', '']), 1) - 1 AS i FROM documents),
+z AS (SELECT source, doc_id, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT source, count(*) AS pages FROM z GROUP BY source),
+k AS (SELECT l.*, CASE WHEN n >= 6 AND (i < 2 OR i >= n - 2) AND length(line) <= 120 AND NOT regexp_matches(line, '^\s*\d+[A-Z]{0,2}\.[^\d]') AND NOT regexp_matches(line, '^\s*[‘''"]?\d+\.\d+[A-Z]{0,2}(\s|$)')
+    AND (length(trim(regexp_replace(regexp_replace(line, '[^A-Za-z ]+', ' ', 'g'), '\s+', ' ', 'g'))) >= 4 OR regexp_matches(trim(line), '(?i)^(page\s+)?[ivxlcdm0-9]+(\s*(of|/)\s*[ivxlcdm0-9]+)?$'))
+    THEN lower(trim(regexp_replace(regexp_replace(line, '[^A-Za-z ]+', ' ', 'g'), '\s+', ' ', 'g'))) END AS key FROM l JOIN z USING (source, doc_id)),
+g AS (SELECT source, key FROM k JOIN p USING (source) WHERE key IS NOT NULL GROUP BY source, key, pages HAVING pages >= 4 AND count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) >= pages * CASE WHEN key = '' THEN 0.6 ELSE 0.15 END)
+SELECT k.doc_id, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY i)) AS body FROM k LEFT JOIN g ON g.source = k.source AND g.key = k.key WHERE g.key IS NULL GROUP BY k.doc_id""")
+def s21_left(t):
+    """Each source as one work whose pages are its documents, with two lines of head and two of foot; what is left of the pages."""
+    head = F.array(F.concat(F.lit("Collected writings of "), "source"), F.concat(F.lit("Volume "), "doc_id"))
+    foot = F.array(F.concat(F.lit("- "), "doc_id", F.lit(" -")), F.col("doc_id").cast("string"))
+    lines = t("documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.concat(head, F.split("text", "\n"), foot)).alias("i", "line"))
+    left = U.without_furniture(lines).groupBy(F.col("page").alias("doc_id")).agg(F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("own"))
+    return left.select("doc_id", "lines", F.md5(F.array_join(F.transform("own", lambda x: x["line"]), "\n")).alias("body"))
