@@ -33,9 +33,10 @@ def a04(t):
     return one.agg(F.count_if(F.col("n") < 2000).alias("short"), F.count_if((F.col("n") >= 2000) & (F.col("n") < 20000)).alias("middle"), F.count_if(F.col("n") >= 20000).alias("long"), F.max("n").alias("longest"))
 
 
-@query("a05_duplicate_titles", "WITH d AS (SELECT substr(text, 1, 30) AS title FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1) SELECT doc_id, source FROM documents WHERE substr(text, 1, 30) IN (SELECT title FROM d)")
+@query("a05_duplicate_titles", "WITH d AS (SELECT split_part(text, chr(10), 1) AS title FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1) SELECT doc_id, source FROM documents WHERE split_part(text, chr(10), 1) IN (SELECT title FROM d)")
 def a05(t):
-    titled = t("documents").select("doc_id", "source", F.substring("text", 1, 30).alias("title"))
+    """Documents whose first line several sources have."""
+    titled = t("documents").select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     again = titled.groupBy("title").agg(F.count_distinct("source").alias("n")).where("n > 1")
     return titled.join(again, "title", "left_semi").select("doc_id", "source")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import ledger as L
 from ..operators import ordering as O
+from ..operators import phrases as H
 from ..operators import versions as V
 
 
@@ -53,28 +54,25 @@ def j07(t):
 
 
 @query("j08_titles_in_text", """
-WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents), p AS (SELECT DISTINCT p_partkey, unnest(string_split_regex(lower(p_name), '[^a-z]+')) AS w FROM part)
-SELECT p_partkey, count(DISTINCT doc_id) AS documents FROM p JOIN w USING (w) WHERE length(w) >= 3 GROUP BY p_partkey""")
+WITH t AS (SELECT DISTINCT lower(split_part(text, chr(10), 1)) AS title FROM documents WHERE length(split_part(text, chr(10), 1)) BETWEEN 12 AND 120), d AS (SELECT doc_id, lower(text) AS x FROM documents)
+SELECT title, count(*) AS documents FROM t JOIN d ON contains(x, title) GROUP BY title""")
 def j08(t):
-    """Titles named in texts: an equi-join on words, not a text search of every pair."""
-    words = t("documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).where(F.char_length("w") >= 3)
-    names = t("part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), "[^a-z]+"))).alias("w"))
-    return words.join(names, "w").groupBy("p_partkey").agg(F.count_distinct("doc_id").alias("documents"))
+    """First lines of twelve characters or more as titles, and how many texts hold each: one pass over the texts for all titles."""
+    line = F.lower(F.split_part("text", F.lit("\n"), F.lit(1)))
+    titles = t("documents").select(line.alias("title")).where(F.char_length("title").between(12, 120)).distinct()
+    hits = H.phrase_hits(t("documents").select("doc_id", F.lower("text").alias("text")), titles, pattern_id="title", phrase="title")
+    return hits.groupBy("title").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("j09_known_or_new", """
-WITH b AS (SELECT item_id, text, substr(text, 1, 40) AS head FROM benchmark), d AS (SELECT doc_id, text, substr(text, 1, 40) AS head FROM documents),
-m AS (SELECT doc_id, 1 AS p, item_id FROM d JOIN b ON d.text = b.text UNION ALL SELECT doc_id, 2, item_id FROM d JOIN b ON d.head = b.head),
-k AS (SELECT doc_id, min(p * 1000000 + item_id) AS k FROM m GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN k IS NULL THEN 'NEW' ELSE 'KNOWN' END AS tag, CAST(k // 1000000 AS INTEGER) AS rule FROM d LEFT JOIN k USING (doc_id)""")
+WITH m AS (SELECT doc_id, 1 AS rule FROM documents d JOIN benchmark b ON d.text = b.text
+  UNION ALL SELECT doc_id, 2 FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 12
+  UNION ALL SELECT doc_id, 3 FROM documents d JOIN benchmark b ON contains(b.text, d.text) WHERE length(d.text) >= 12),
+k AS (SELECT doc_id, min(rule) AS rule FROM m GROUP BY doc_id)
+SELECT doc_id, CASE WHEN rule IS NULL THEN 'NEW' ELSE 'KNOWN' END AS tag, rule FROM documents LEFT JOIN k USING (doc_id)""")
 def j09(t):
-    """Tag against a baseline: exact match first, then the same opening; the best rule wins."""
-    b = t("benchmark").select("item_id", F.col("text").alias("b_text"), F.substring("text", 1, 40).alias("head"))
-    d = t("documents").select("doc_id", "text", F.substring("text", 1, 40).alias("head"))
-    exact = d.join(b.drop("head"), F.col("text") == F.col("b_text")).select("doc_id", F.lit(1).alias("rule"))
-    opening = d.join(b, "head").select("doc_id", F.lit(2).alias("rule"))
-    best = exact.unionByName(opening).groupBy("doc_id").agg(F.min("rule").alias("rule"))
-    return d.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.when(F.col("rule").isNull(), "NEW").otherwise("KNOWN").alias("tag"), "rule")
+    """Tag against a baseline: the same text first, then a text that holds a baseline's, then one that a baseline's holds."""
+    return H.known_or_new(t("documents"), t("benchmark"))
 
 
 @query("j10_parent_by_name", "SELECT a.s_suppkey, min(b.s_suppkey) AS parent FROM supplier a JOIN supplier b ON lower(trim(substr(a.s_name, 1, 14))) = lower(trim(substr(b.s_name, 1, 14))) AND a.s_suppkey <> b.s_suppkey GROUP BY a.s_suppkey")

@@ -16,18 +16,20 @@ def s17(t):
     return P.parsed(t("pages"))
 
 
-@query("s17_offsets_resolve", "SELECT page_id, 0 AS ordinal FROM pages WHERE false")
+@query("s17_offsets_resolve", "SELECT DISTINCT page_id % 7 AS residue, 0 AS ordinal FROM pages WHERE page_id % 7 = 0")
 def s17b(t):
-    """Sections whose offsets do not give their own length; none should be left."""
+    """Sections whose offsets do not give their own length are those that are moved here (first ones, of every seventh page), and no others."""
     s = P.parsed(t("pages")).where("unread is null")
-    return s.where(F.col("char_end") - F.col("char_start") != F.char_length("text")).select("page_id", "ordinal")
+    moved = s.withColumn("char_end", F.col("char_end") + F.when((F.col("page_id") % 7 == 0) & (F.col("ordinal") == 0), 1).otherwise(0))
+    return moved.where(F.col("char_end") - F.col("char_start") != F.char_length("text")).select((F.col("page_id") % 7).alias("residue"), "ordinal").distinct()
 
 
-@query("s16_read_xor_unread", "SELECT page_id FROM pages WHERE false")
+@query("s16_read_xor_unread", "SELECT page_id FROM pages WHERE page_id % 11 = 0 OR page_id % 13 = 0")
 def s16(t):
-    """Pages that are both read and unread, or neither; none should be left."""
+    """Pages that are both read and unread, or neither: those that are made so here, and no others."""
     s = P.parsed(t("pages")).groupBy("page_id").agg(F.count_if(F.col("unread").isNull()).alias("read"), F.count_if(F.col("unread").isNotNull()).alias("unread"))
-    return t("pages").select("page_id").join(s, "page_id", "left").where("(read > 0) = (unread > 0) or read is null").select("page_id")
+    faulty = s.where("page_id % 13 != 0").withColumns({c: F.when(F.col("page_id") % 11 == 0, 1).otherwise(F.col(c)) for c in ("read", "unread")})
+    return t("pages").select("page_id").join(faulty, "page_id", "left").where("(read > 0) = (unread > 0) or read is null").select("page_id")
 
 
 @query("s06_robots", """

@@ -113,12 +113,12 @@ _banded("b08_count_ladder", lambda: R.count_ladder(F.when(F.col("is_decision"),
 _banded("b09_firm_threshold", lambda: R.firm_threshold(F.col("usd"), F.col("foreign_only")), "CASE WHEN coalesce(min(usd) FILTER (foreign_only), min(usd)) IS NULL THEN 1 WHEN coalesce(min(usd) FILTER (foreign_only), min(usd)) < 200 THEN 2 ELSE 3 END")
 
 
-@query("b10_rederivation", "SELECT source FROM documents WHERE false")
+@query("b10_rederivation", "SELECT doc_id FROM documents WHERE doc_id % 97 = 0")
 def b10(t):
-    """Decide twice from stored columns; cells that differ are faults, and there are none."""
-    once = R.decided(findings(t)).groupBy("source").agg(F.count_if(F.col("outcome").isNull()).alias("a"))
-    again = R.decided(findings(t).repartition(3, "doc_id")).groupBy("source").agg(F.count_if(F.col("outcome").isNull()).alias("b"))
-    return once.join(again, "source").where(~F.col("a").eqNullSafe(F.col("b"))).select("source")
+    """Decide again from what is stored and compare with the record: the cells that are changed here come out, and no others."""
+    record = R.decided(findings(t)).select("doc_id", F.when(F.col("doc_id") % 97 == 0, "changed").otherwise(F.col("outcome")).alias("recorded"))
+    again = R.decided(findings(t)).select("doc_id", "outcome")
+    return again.join(record, "doc_id").where(~F.col("outcome").eqNullSafe(F.col("recorded"))).select("doc_id")
 
 
 @query("b_absence_guard", f"WITH {_F}, d AS ({_gates_sql().replace('WITH ' + _F, '').strip()}) SELECT source, coalesce(bool_or(instrument_kind = 'act' AND outcome IS NULL), false) AND count(*) FILTER (outcome = 'held') = 0 AND count(*) > 0 AS allowed FROM f JOIN d USING (doc_id) GROUP BY source")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import language as G
 from ..functions import money as M
+from ..functions import passages as Q
 from ..functions import text as T
 
 _WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}\\p{M}]+'), lambda w: length(w) >= 3)"
@@ -160,22 +161,26 @@ def p24(t):
 
 
 @query("t08_quote_containment", """
-SELECT doc_id, contains(text, a) AND strpos(substr(text, strpos(text, a) + length(a)), b) > 0 AS matched FROM (SELECT doc_id, text, substr(text, 5, 20) AS a, CASE WHEN doc_id % 3 = 0 THEN 'zzzz' ELSE substr(text, 60, 15) END AS b FROM documents WHERE n_chars > 100)""")
+SELECT doc_id, item_id, strpos(substr(d.text, strpos(d.text, left(b.text, 30)) + 30), right(b.text, 30)) > 0 AS matched, strpos(substr(d.text, strpos(d.text, right(b.text, 30)) + 30), left(b.text, 30)) > 0 AS reversed
+FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 80""")
 def t08(t):
-    """An elided quote: both parts, in order."""
-    d = t("documents").where("n_chars > 100").select("doc_id", "text", F.substring("text", 5, 20).alias("a"), F.when(F.col("doc_id") % 3 == 0, "zzzz").otherwise(F.substring("text", 60, 15)).alias("b"))
-    at = F.instr(F.col("text"), F.col("a"))
-    after = F.substring(F.col("text"), at + F.char_length("a"), F.lit(1 << 30))
-    return d.select("doc_id", ((at > 0) & F.contains(after, F.col("b"))).alias("matched"))
+    """Passages quoted by their beginning and end with a gap between, and the other way round: fragments have to follow each other."""
+    from .evidence import _passages
 
+    d = _passages(t).where(F.char_length("passage") >= 80)
+    first, last = F.left("passage", F.lit(30)), F.right("passage", F.lit(30))
+    held = lambda a, b: Q.quote_span(F.col("text"), F.concat(a, F.lit(" … "), b)).isNotNull()
+    return d.select("doc_id", "item_id", held(first, last).alias("matched"), held(last, first).alias("reversed"))
 
-@query("z05_offset_audit", "SELECT conv_id, turn FROM conversations WHERE false")
+
+@query("z05_offset_audit", "SELECT conv_id, turn FROM conversations WHERE conv_id % 5 = 0 AND turn = 0")
 def z05(t):
-    """Sections whose offsets do not give their own text back; none should be left."""
+    """Sections whose offsets do not give their own text back: those that are moved here, and no others."""
     from ..operators import ledger as L
 
     s = L.with_offsets(t("conversations"), "conv_id", "turn", "text")
     parts = s.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("whole"))
+    s = s.withColumn("char_start", F.col("char_start") + F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0), 1).otherwise(0))
     return s.join(parts, "conv_id").where(~F.substring(F.col("whole"), F.col("char_start").cast("int") + 1, F.char_length("text")).eqNullSafe(F.col("text"))).select("conv_id", "turn")
 
 
