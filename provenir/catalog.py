@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import all modules that register queries."""
-    from .plans import aggregates, dedup, evidence, findings, frameworks, grammar, indicator, joins, ledger, materialise, pages, phrases, register, retrieval, rules, shortlist, text, windows  # noqa: F401
+    from .plans import aggregates, dedup, drafting, evidence, findings, frameworks, grammar, indicator, joins, ledger, materialise, pages, phrases, register, retrieval, rules, shortlist, text, windows  # noqa: F401
 
 
 load()
