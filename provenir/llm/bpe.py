@@ -11,6 +11,8 @@ import base64
 import hashlib
 import os
 import re
+import threading
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +31,8 @@ MARKS = frozenset(".,;:!?)")
 SURE = "\u0530"
 #: Chunks that a worker remembers; beyond it the memory starts anew.
 CACHE = 1_200_000
+#: Seconds after which a worker that encodes no more lets go of its memory (it is used again for other work).
+IDLE = 10
 #: Texts that are encoded together.
 AT_ONCE = 128
 #: Characters of a text that are handled at a time.
@@ -80,6 +84,16 @@ class Codec:
         self.pieces = regex.compile(PATTERN).findall
         self.led: dict[str, bytes] = {}  # what follows a blank, to the ids of blank and all
         self.bare: dict[str, bytes] = {}  # chunks as they stand
+        self.lock, self.used, self.watched = threading.Lock(), 0.0, False
+
+    def _watch(self) -> None:
+        """Forget the chunks once nothing has been encoded for a while."""
+        while True:
+            time.sleep(IDLE / 2)
+            with self.lock:
+                if time.monotonic() - self.used > IDLE:
+                    self.led, self.bare, self.watched = {}, {}, False
+                    return
 
     def _learn(self, memory: dict[str, bytes], new: set[str], lead: str) -> None:
         if len(memory) + len(new) > CACHE:
@@ -131,6 +145,16 @@ class Codec:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""
+        with self.lock:
+            if not self.watched:
+                self.watched = True
+                threading.Thread(target=self._watch, daemon=True).start()
+            try:
+                return self._encode_all(texts)
+            finally:
+                self.used = time.monotonic()
+
+    def _encode_all(self, texts: list[str | None]) -> list[bytes]:
         plain = [(text or "").split(" ") if len(text or "") <= SPAN and not re.search(r"\s \s|\s $", text or "") and not self._has_special(text or "") else None for text in texts]
         unseen = set().union(*[set(words[1:]).difference(self.led) for words in plain if words])
         if 0 < len(unseen) <= CACHE - len(self.led):  # what is new in all of them goes to the library at once

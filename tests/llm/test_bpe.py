@@ -61,3 +61,18 @@ def test_frames(spark):
     back = bpe.decoded(bpe.encoded(df, RANKS), RANKS).collect()
     assert sorted(r.text for r in back) == ["", "", "a b", "a b", "x"]
     assert bpe.digests(df.limit(0), RANKS).count() == 0
+
+
+def test_an_idle_worker_forgets_and_learns_again(plain, monkeypatch):
+    import time
+
+    monkeypatch.setattr(bpe, "IDLE", 0.2)
+    own, texts = bpe.Codec(RANKS), ["some words here", "and  other\n words", None]
+    first = own.encode_all(texts)
+    assert own.led
+    for _ in range(50):
+        if not own.led:
+            break
+        time.sleep(0.1)
+    assert not own.led and not own.bare
+    assert own.encode_all(texts) == first and own.led
