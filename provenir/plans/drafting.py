@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import drafting as D
+from ..functions import titles as W
 
 
 @query("t12_drafting_facts", """
@@ -42,3 +43,17 @@ def b09(t):
     absence = F.struct((F.col("judged") > 0).alias("governing"), F.col("source").alias("instrument"), F.col("judged").alias("findings"), F.lit(None).cast("string").alias("current_to"))
     text = D.rationale(F.when(found, 1).otherwise(0), F.when(found, "Good English").otherwise("No good English"), F.when(found, "one good document").otherwise("none found"), basis, F.lit("Good English"), absence, F.col("judged"), F.col("n"), F.col("bad"), F.lit("Excludes what is toxic."))
     return s.select("source", text.alias("rationale"))
+
+
+@query("p08_instrument_titles", """
+WITH l AS (SELECT doc_id, lang, trim(left(regexp_replace(split_part(text, chr(10), 1), '[^\\p{L} ]', '', 'g'), 24)) AS x, toxic FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, lang = 'de' AS about, CASE lang WHEN 'en' THEN 'act' WHEN 'fr' THEN 'regulation' WHEN 'es' THEN 'guideline' END AS kind,
+  CASE WHEN lang = 'en' AND toxic IS NULL THEN 'publication' WHEN lang = 'en' THEN 'act' WHEN lang = 'fr' THEN 'regulation' WHEN lang = 'es' THEN 'guideline' END AS registered FROM l""")
+def p08_titles(t):
+    """Titles made of the documents' first words, one form a language: their kinds, and what an Act counts as that states nothing of itself."""
+    x = F.trim(F.left(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"[^\p{L} ]", ""), F.lit(24)))
+    form = F.when(F.col("lang") == "en", F.concat(F.lit("The  "), x, F.lit(" Data Act (No. 7) 2019 reprint"))).when(F.col("lang") == "fr", F.concat(x, F.lit(" Data Regulations 2001"))).when(F.col("lang") == "es", F.concat(F.lit("Revised Guidelines for "), x)).otherwise(F.concat(F.lit("Understanding "), x, F.lit(" Data Act")))
+    d = t("documents").join(t("labels"), "doc_id", "left").select("doc_id", form.alias("title"), F.when(F.col("toxic").isNotNull(), F.concat(F.lit("No. "), F.col("doc_id").cast("string"))).alias("number"))
+    kind = W.title_kind(F.col("title"))
+    none = F.lit(None).cast("string")
+    return d.select("doc_id", W.published_about(F.col("title")).alias("about"), kind.alias("kind"), W.registered_kind(kind, F.col("number"), F.lit("unknown"), none).alias("registered"))
