@@ -21,7 +21,7 @@ CASES = [
     ("An act.", None),
     ("x" * 171 + " Act", None),
     ("Data Act, which every one of them knows well", None),
-    ("Something (Code of Practice)", "guideline"),
+    ("Something (Banks' Code of Practice)", "guideline"), ("Something (Code of Practice)", None),
     ("Plan of the city", None),
     (None, None),
     ("", None),
