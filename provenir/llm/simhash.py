@@ -262,4 +262,5 @@ def representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -174,6 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all ``embeddings`` for every twentieth id; see ``top_k``."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0)
 
 
