@@ -121,6 +121,21 @@ def test_near_quotes(spark):
     assert A.near("😀 A " + slips.upper() + " B", slips.replace("lazy", "lzy"), True) == (4, 4 + len(slips))
 
 
+def test_near_quotes_prefer_the_passage_itself():
+    passage = "the quick brown fox jumps over the lazy dog and runs away from the bear"
+    slipped = passage[:14] + passage[15:39] + "#" + passage[40:]
+    longer, shouted = passage.replace("lazy ", "lazy old "), passage.upper()
+    for other in (longer, shouted):
+        for text in (other + " " + passage, passage + " " + other, other + "\n" + "x" * 300 + passage):
+            at = text.index(passage)
+            assert A.near(text, slipped, True) == (at, at + len(passage)), text
+    many = [passage.replace("fox", "cat")] * 12
+    for gap in range(60):  # wherever the diagonals are cut into bands
+        text = " ".join(many) + "x" * gap + passage + "".join(many)
+        at = text.index(passage)
+        assert A.near(text, slipped, True) == (at, at + len(passage)), gap
+
+
 def test_nfc_marks_and_json(spark):
     df = spark.createDataFrame([(1, "café"), (2, None)], "id int, text string")
     assert {r.id: r.n for r in df.select("id", F.char_length(P.nfc("text")).alias("n")).collect()} == {1: 4, 2: None}
