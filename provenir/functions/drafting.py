@@ -29,11 +29,15 @@ def _flat(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")
 
 
-def _before(text: Column, words: Column) -> Column:
-    """What stands before the first place of some words; null if they are not there, or too few."""
+def _stand(text: Column, words: Column, found) -> Column:
+    """Whether ``found`` holds of what stands before some words, at any of their places; false if they are not there, or too few."""
     own = F.trim(words)
-    at = F.instr(text, own)
-    return F.when((F.char_length(own) >= LEAST) & (at > 0), F.substring(text, F.lit(1), at - 1))
+    # a piece begins at each place, overlapping ones too; the first piece holds the text's beginning
+    at = F.concat(F.lit("(?=\\Q"), F.replace(own, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    parts = F.split(F.coalesce(text, F.lit("")), at)
+    heads = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ""))
+    held = F.exists(heads, lambda head: F.startswith(F.substring(text, F.char_length(head) + 1, F.char_length(own)), own) & found(head))
+    return F.coalesce(F.when(F.char_length(own) >= LEAST, held), F.lit(False))
 
 
 def amends_another(text: Column) -> Column:
@@ -53,7 +57,7 @@ def cites_definition(text: Column, words: Column) -> Column:
     own = F.trim(words)
     # words that begin with their entry stand in it: the entry is let in
     starts = F.coalesce(own.rlike(f"^{ENTRY}") & F.contains(text, own) & (F.char_length(own) >= LEAST), F.lit(False))
-    return starts | F.coalesce(bound(_before(F.coalesce(text, F.lit("")), words), found), F.lit(False))
+    return starts | _stand(text, words, found)
 
 
 def figure_replaceable(text: Column, words: Column) -> Column:
@@ -72,12 +76,12 @@ def inherits_power(text: Column, words: Column) -> Column:
         ended = F.regexp_extract(head, r":([^:]*)$", 1).rlike(r"[.]\s+[A-Z]")
         return head.contains(":") & ~ended & (F.size(modals) > 0) & (F.element_at(F.concat(F.array(F.lit("")), modals), -1) == "may")
 
-    return F.coalesce(bound(_before(F.coalesce(text, F.lit("")), words), found), F.lit(False))
+    return _stand(text, words, found)
 
 
 def inserts_words(text: Column, words: Column) -> Column:
     """Whether some words are text that the provision sets out for another one."""
-    return F.coalesce(_before(_flat(text), _flat(words)).rlike(SET_OUT + r"[^\"”]*$"), F.lit(False))
+    return _stand(_flat(text), _flat(words), lambda head: head.rlike(SET_OUT + r"[^\"”]*$"))
 
 
 def states_force(head: Column) -> Column:

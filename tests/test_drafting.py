@@ -50,6 +50,13 @@ def test_words_that_are_inserted(spark):
     check(spark, [(text, "A carrier must keep data", True), (text, "it must pay", False), (text, "Section 3 is amended", False), (text, None, False), (None, "data", False)], D.inserts_words)
 
 
+def test_words_count_at_any_of_their_places(spark):
+    text = "The principal Act is amended by inserting after section 3 the following: “ing\\E is.”"
+    check(spark, [(text, "ing", True), (text, "ing\\E is", True), (text, "section", False), ("ing", "ing", False)], D.inserts_words)
+    check(spark, [("In this Act—\n“carrier” means one who carries;\n“line” includes car;\n\nThe rest.", "car", True), ("car, “line” includes data", "car", False)], D.cites_definition)
+    check(spark, [("A carrier must act. The Minister may by order require:\n(a) act", "act", True), ("A carrier must act. The act may be.", "act", False)], D.inherits_power)
+
+
 def test_force_and_what_is_amended(spark):
     df = spark.createDataFrame([(1, ["Licensees must comply with all\nguidelines issued"]), (2, ["Non-compliance may result in enforcement action", "It is not legally binding"]), (3, ["plain"]), (4, None), (5, [])], "i int, head array<string>")
     assert {r.i: r.v for r in df.select("i", D.states_force(F.col("head")).alias("v")).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
