@@ -31,13 +31,16 @@ def _flat(c: Column) -> Column:
 
 def _stand(text: Column, words: Column, found) -> Column:
     """Whether ``found`` holds of what stands before some words, at any of their places; false if they are not there, or too few."""
-    own = F.trim(words)
+    own, text = F.trim(words), F.coalesce(text, F.lit(""))
+    first = F.instr(text, own)
+    again = F.instr(F.substring(text, first + 1, F.char_length(text)), own) > 0
     # a piece begins at each place, overlapping ones too; the first piece holds the text's beginning
     at = F.concat(F.lit("(?=\\Q"), F.replace(own, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    parts = F.split(F.coalesce(text, F.lit("")), at)
-    heads = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ""))
-    held = F.exists(heads, lambda head: F.startswith(F.substring(text, F.char_length(head) + 1, F.char_length(own)), own) & found(head))
-    return F.coalesce(F.when(F.char_length(own) >= LEAST, held), F.lit(False))
+    heads = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ""))
+    head = F.when((F.char_length(own) >= LEAST) & (first > 0), F.substring(text, F.lit(1), first - 1))
+    at_first = F.coalesce(bound(head, found), F.lit(False))
+    # only words that stand in several places are looked for again
+    return F.when(at_first, True).when(F.coalesce((F.char_length(own) >= LEAST) & (first > 0) & again, F.lit(False)), F.exists(heads(F.split(text, at)), found)).otherwise(False)
 
 
 def amends_another(text: Column) -> Column:
