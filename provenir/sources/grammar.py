@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from ..operators.indicator import written
 
 #: Lines of a block.
 BLOCK = 4096
+#: Characters of pieces that a worker holds before they leave.
+HELD = 1 << 20
 # The lines that open a part, a schedule, a caption, a long title, the enacting words, and numbered provisions.
 PART_LINE, PART_SPLIT = r"^\s*(?:PART\s+[IVXLC0-9]+[A-Z]?\b.*|Part\s+[0-9]+[A-Z]?\b.*)$", r"(?i)^PART(?:[IVXLC]+|[0-9]+)[A-Z]?$"
 SCHEDULE = (
@@ -120,12 +122,13 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     read = F.transform("lines", lambda line, i: sign(line, F.coalesce(F.get("lines", i + 1), F.col("after"))))
     signed = written(rows.select("id", "block", "lines", F.array_join(read, "").alias("signs"), (F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.char_length(x) + 1)).alias("size")))
 
-    def functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(step=[_composed(s) for s in frame["signs"]])[["id", "block", "size", "step"]]
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = pa.array((_composed(x.as_py()) for x in batch.column(3)), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], step], ["id", "block", "size", "step"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    steps = signed.select("id", "block", "size", "signs").mapInPandas(functions, f"id {kind}, block int, size long, step array<int>")
+    steps = signed.select("id", "block", "size", "signs").mapInArrow(functions, f"id {kind}, block int, size long, step array<int>")
     # a row for each block: fifteen numbers, composed in order
     start = F.struct(F.array().cast("array<struct<block:int,state:int,start:bigint>>").alias("out"), F.lit(0).alias("state"), F.lit(0).cast("long").alias("at"))
     whole = F.aggregate(
@@ -136,22 +139,36 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     )
     entries = steps.groupBy("id").agg(whole.alias("_w")).select("id", F.explode("_w").alias("_e")).select("id", "_e.*")
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for own, own_block, own_lines, signs, state, at in frame[["id", "block", "lines", "signs", "state", "start"]].itertuples(index=False, name=None):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "block", "start", "kind", "text"]
+        for batch in batches:
+
+            def leave(out: list[tuple], batch=batch) -> pa.RecordBatch:
+                row, begun, opens, text = zip(*out)
+                own = pa.array(row, pa.int32())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(begun, pa.int64()), pa.array(opens, pa.string()), pa.array(text, pa.string())], names)
+
+            # block by block; pieces leave in small batches, so that what is held besides the input is bounded
+            out, held = [], 0
+            for row in range(batch.num_rows):
+                own_lines, signs, state, at = (batch.column(c)[row].as_py() for c in range(2, 6))
                 s, first, opens, begun = STATES[state], 0, "", at
                 for i, c in enumerate(signs):
                     s, action = TABLE[s, c]
                     if action:
                         if i > first:
-                            out.append((own, own_block, begun, opens, "\n".join(own_lines[first:i])))
+                            out.append((row, begun, opens, "\n".join(own_lines[first:i])))
                         first, opens, begun = i, action, at
                     at += len(own_lines[i]) + 1
-                out.append((own, own_block, begun, opens, "\n".join(own_lines[first:])))
-            yield pd.DataFrame(out, columns=["id", "block", "start", "kind", "text"])
-
-    cut_up = signed.join(entries, ["id", "block"]).mapInPandas(pieces, f"id {kind}, block int, start long, kind string, text string")
+                out.append((row, begun, opens, "\n".join(own_lines[first:])))
+                held += sum(map(len, own_lines)) + 1
+                if held > HELD or len(out) > HELD >> 8:
+                    yield leave(out)
+                    out, held = [], 0
+            if out:
+                yield leave(out)
+
+    cut_up = signed.join(entries, ["id", "block"]).select("id", "block", "lines", "signs", "state", "start").mapInArrow(pieces, f"id {kind}, block int, start long, kind string, text string")
     nth = F.count_if(F.col("kind") != "").over(Window.partitionBy("id").orderBy("start"))
     whole_sections = cut_up.withColumn("section", nth).groupBy("id", "section").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "text"))).alias("_p"))
     text = F.array_join(F.transform("_p", lambda p: p["text"]), "\n")

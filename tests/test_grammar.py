@@ -102,3 +102,16 @@ def test_empty_and_null_texts(spark):
     assert [[(r.kind, r.text, r.start) for r in got[i]] for i in (1, 2, 3, 4)] == [[("prose", "", 0)], [("prose", "", 0)], [("prose", "\n\n", 0)], [("prose", "one line", 0)]]
     df = spark.createDataFrame([], "doc_id long, text string")
     assert G.sections(df).count() == 0
+
+
+def test_pieces_and_pages_leave_in_small_batches(spark, monkeypatch):
+    from provenir.sources import pages as P
+
+    docs = spark.createDataFrame([(i, "\n".join(f"{k}. It must be so {i}." for k in range(1, 40))) for i in range(20)], "doc_id long, text string")
+    html = "".join(f"<h2>Part {k}</h2><p>{'words of it ' * 20}</p>" for k in range(9))
+    pages = spark.createDataFrame([(i, html if i % 3 else None) for i in range(20)], "page_id long, html string")
+    whole = [sorted(map(tuple, df.collect()), key=str) for df in (G.sections(docs), P.parsed(pages))]
+    monkeypatch.setattr(G, "HELD", 300)
+    monkeypatch.setattr(P, "HELD", 300)
+    assert [sorted(map(tuple, df.collect()), key=str) for df in (G.sections(docs), P.parsed(pages))] == whole
+    assert len(whole[0]) == 780 and len(whole[1]) == 7 + 13 * 9
