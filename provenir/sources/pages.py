@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 LEAST_TEXT, MOST_LINKS = 600, 0.5
 #: Windows of a long text, their overlap, and how far a break may be sought (fixed values).
 WINDOW, OVERLAP, REACH = 12000, 1500, 0.6
+#: Characters of sections that a worker holds before they leave.
+HELD = 1 << 20
 
 _CHROME = re.compile(r"<(script|style|nav|header|footer|aside|form|noscript)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.I | re.S)
 _HEADING = re.compile(r"<h([1-6])\b[^>]*>(.*?)(?=</h\1|<h[1-6]|\Z)", re.I | re.S)
@@ -56,18 +59,30 @@ def sections(markup: str | None) -> tuple[str | None, list[tuple[str, str, int,
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """A row for each section of each page; a page that was not read has one row that says why."""
-    schema = f"{id_col} long, ordinal int, heading_path string, text string, char_start long, char_end long, unread string"
+    """A row for each section of each page; a page that was not read has one row that says why.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page, markup in zip(frame[id_col], frame[html_col]):
-                why, own = sections(markup)
+    Sections leave in small batches while pages are read one by one, so what a worker holds besides
+    a batch of its input does not grow with it.
+    """
+    names = [id_col, "ordinal", "heading_path", "text", "char_start", "char_end", "unread"]
+    form = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), form)], schema=form)
+        for batch in batches:
+            rows, held = [], 0
+            for page, markup in zip(batch.column(0), batch.column(1)):
+                why, own = sections(markup.as_py())
+                page = page.as_py()
                 rows += [(page, k, *s, None) for k, s in enumerate(own)] if own else [(page, 0, None, None, None, None, why or "empty")]
-            yield pd.DataFrame(rows, columns=schema.replace(",", "").split()[::2]).astype({"char_start": "Int64", "char_end": "Int64"})
-
-    return pages.select(F.col(id_col).cast("long").alias(id_col), html_col).mapInPandas(run, schema)
+                held += sum(len(s[1]) for s in own) + 1
+                if held > HELD or len(rows) > HELD >> 8:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+    return pages.select(F.col(id_col).cast("long").alias(id_col), html_col).mapInArrow(run, f"{id_col} long, ordinal int, heading_path string, text string, char_start long, char_end long, unread string")
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
