@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,9 +37,9 @@ def markup(html: str | None) -> str | None:
     return "\n".join(rows) or None
 
 
-@F.pandas_udf(StringType())
-def _markup(html: pd.Series) -> pd.Series:
-    return html.map(markup)
+@F.arrow_udf(StringType())
+def _markup(html: pa.Array) -> pa.Array:
+    return pa.array((markup(x.as_py()) for x in html), pa.string())  # page by page: no list of all
 
 
 def flight_markup(html: Column) -> Column:
