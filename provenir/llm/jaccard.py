@@ -1,6 +1,8 @@
-"""Near-duplicates by the Jaccard likeness of word shingles: MinHash buckets propose, exact likeness decides.
+"""Near-duplicates by SimHash fingerprints and their Gray-order index, then MinHash buckets; exact likeness decides.
 
-Every text is filed under ``BANDS`` keys of ``ROWS`` minima each; a pair at likeness 0.8 shares no
+First the index of ``simhash`` proposes: fingerprints of the shingle sets that are within ``DISTANCE``
+bits. A pair at likeness 0.8 differs in some ten of 64 bits, so that finds part of the pairs; the
+buckets propose what it leaves apart. Every text is filed under ``BANDS`` keys of ``ROWS`` minima each; a pair at likeness 0.8 shares no
 key with probability (1 - 0.8 ** 4) ** 32 < 1e-7. First each member of a bucket is compared with the
 bucket's pivot; then, only in buckets whose members these links leave apart, members outside the
 bucket's largest group are compared with members of other groups: with the likeliest few first, and
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import first_of_each, keyed, stored
 from .components import components
+from .simhash import links as close_fingerprints
+from .simhash import of_digests
 
 SEED = 42
 SHINGLE, LIKENESS = 5, 0.8
@@ -75,18 +79,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node: digest of the shingle set, so that texts with equal sets are one node; sig: a byte of each minimum."""
+    """node: digest of the shingle set, so that texts with equal sets are one node; fp: its SimHash; sig: a byte of each minimum."""
     for batch in batches:
-        node, sig, keys = [], [], []
+        node, fp, sig, keys = [], [], [], []
         for text in batch.column(1):
             own = shingles(text.as_py())
             low = signature(own)
             node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            fp.append(of_digests(own))
             sig.append((low >> np.uint64(24)).astype(np.uint8).tobytes())
             keys.append([xxhash.xxh64_intdigest(low[k : k + ROWS].tobytes(), k) for k in range(0, len(low), ROWS)])
         flat = pa.array(_signed(np.array(keys, np.uint64).ravel()))
         offsets = pa.array(np.arange(0, len(keys) * BANDS + 1, BANDS, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(np.array(node, np.uint64))), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["row", "node", "sig", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(np.array(node, np.uint64))), pa.array(_signed(np.array(fp, np.uint64))), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["row", "node", "fp", "sig", "keys"])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +164,20 @@ def _exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.loc[near, ["a", "b"]]
 
 
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that connect what fingerprints within ``DISTANCE`` bits connect, found by the Gray-order index."""
+    least = stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    equal = nodes.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    edges = close_fingerprints(least.select("fp")).distinct()
+    near = edges.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    return equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_groups(rows: DataFrame) -> DataFrame:
     """(row, doc_id, component) for (row, doc_id, text): what pairs of likeness ``LIKENESS`` or more connect."""
-    found = stored(rows.select("row", "text").mapInArrow(_signatures, "row long, node long, sig binary, keys array<long>"), "signatures")
+    found = stored(rows.select("row", "text").mapInArrow(_signatures, "row long, node long, fp long, sig binary, keys array<long>"), "signatures")
     nodes = stored(found.groupBy("node").agg(F.min("row").alias("row")), "nodes")
-    own = stored(found.join(nodes.select("row"), "row", "left_semi").select("row", "node", "sig", "keys"), "node-signatures")
+    own = stored(found.join(nodes.select("row"), "row", "left_semi").select("row", "node", "fp", "sig", "keys"), "node-signatures")
     filed = own.select("node", F.explode("keys").alias("key"))
     pivots = filed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
     buckets = stored(filed.join(pivots, "key"), "buckets")
@@ -183,9 +197,15 @@ def near_groups(rows: DataFrame) -> DataFrame:
         sets = stored(texts(ends).mapInArrow(_sets, "node long, own binary"), "shingle-sets")
         return stored(with_both(pairs, sets, "own").select("a", "b", "own", "own2").mapInPandas(_exact, "a long, b long"), "links")
 
+    close = stored(proposed(own.select("node", "fp")), "close-fingerprints")
+    known = verified(close)
+    joined = stored(components(known), "groups")
+    a, b = (joined.select(F.col("vertex").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     star = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    # only pairs that the fingerprints have left apart
+    star = star.join(a, "a", "left").join(b, "b", "left").where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
     first = stored(with_both(star, own, "sig").select("a", "b", "sig", "sig2").mapInPandas(_likely, "a long, b long"), "likely-pairs")
-    links, tried = verified(first), first
+    links, tried = stored(known.unionByName(verified(first)), "links"), first.unionByName(close)
     root = stored(components(links), "groups")
     fine = None
     for most in TRIES:

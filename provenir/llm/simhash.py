@@ -51,6 +51,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
+def of_digests(digests: np.ndarray) -> int:
+    """SimHash of shingles that are digested already; none: zero."""
+    if not len(digests):
+        return 0
+    counts = np.bincount((digests.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048)
+    return sum(1 << i for i in np.flatnonzero(2 * (counts.reshape(8, 256) @ _BITS).ravel() > len(digests)).tolist())
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long; one pass over the texts, nothing shuffled."""
 

@@ -41,3 +41,28 @@ def test_stage_links_all_pairs_of_likeness_four_fifths(spark):
 def test_likeness_is_exact():
     x, y = ("a b c d e f g h i j k l m", "a b c d e f g h i j k l z")
     assert jaccard.likeness(jaccard.shingles(x), jaccard.shingles(y)) == 8 / 10
+
+
+def test_fingerprints_propose_first(spark, monkeypatch):
+    """Near copies within three bits are found by the fingerprints' index alone, and nothing unlike is linked."""
+    rnd = random.Random(8)
+    now = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    texts = [" ".join(now), " ".join([*now, "more"]), " ".join(now[:1500]), "other words of their own that are here"]
+    monkeypatch.setattr(jaccard, "_likely", lambda frames: (f.loc[[], ["a", "b"]] for f in frames))
+    monkeypatch.setattr(jaccard, "TRIES", ())
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
+
+
+def test_proposed_pairs_connect_close_fingerprints(spark):
+    rnd = random.Random(9)
+    fps = [rnd.getrandbits(63) for _ in range(40)]
+    fps += [f ^ (1 << rnd.randrange(62)) ^ (1 << rnd.randrange(62)) for f in fps[:20]] + fps[:5]
+    nodes = list(enumerate(fps, 100))
+    group = {n: n for n, _ in nodes}
+    got = dict(group)
+    for own, pairs in ((group, [(m, n) for m, x in nodes for n, y in nodes if (x ^ y).bit_count() <= 3]), (got, [(r.a, r.b) for r in jaccard.proposed(spark.createDataFrame(nodes, "node long, fp long")).collect()])):
+        for _ in range(8):
+            for m, n in pairs:
+                own[m] = own[n] = min(own[m], own[n])
+    assert got == group
