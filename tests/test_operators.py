@@ -81,3 +81,13 @@ def test_upserts_and_versions(spark):
     new = spark.createDataFrame([(2, None, "y"), (3, "c", "z")], "k long, d string, e string")
     assert rows(L.upserted(old, new, ["k"]), "k", "d", "e") == [(1, "a", "x"), (2, "b", "y"), (3, "c", "z")]
     assert rows(L.superseded(old, new.where("k = 3"), ["k"], "d"), "k") == [(1,), (2,), (3,)]
+
+
+def test_grams_are_counted_where_they_are_made(spark):
+    from provenir.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "abcabc"), (2, "ABC"), (2, "abcd"), (3, None), (4, "ab")], "doc_id long, text string")
+    found = R.postings(docs)
+    assert sorted(map(tuple, found.collect())) == [("abc", 1, 2), ("abc", 2, 2), ("bca", 1, 1), ("bcd", 2, 1), ("cab", 1, 1)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "hashpartitioning(gram" not in found._jdf.queryExecution().executedPlan().toString(), plan
