@@ -15,6 +15,7 @@ import threading
 import time
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MARKS = frozenset(".,;:!?)")
 #: Below this character str.isalpha and the pattern agree on what a letter is in all versions.
 SURE = "\u0530"
+#: Finds a run of white space that a cut at its blanks would tear.
+TORN = re.compile(r"\s (?:\s|$)").search
 #: Chunks that a worker remembers; beyond it the memory starts anew.
 CACHE = 1_200_000
 #: Seconds after which a worker that encodes no more lets go of its memory (it is used again for other work).
@@ -64,14 +67,15 @@ class Codec:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path) if path.endswith(".json") else _from_ranks(path)
         #: A file of ranks has no special tokens; with those of a JSON file the whole text goes to the library as it stands.
         self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
         self.whole = Tokenizer.from_file(path) if self.special else None
         self.model.encode_special_tokens = True
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model.pre_tokenizer = None  # pieces go to it in the characters of the vocabulary, one a byte
+        self.chars = dict(enumerate(byte_table()))
         byte = {c: b for b, c in enumerate(byte_table())}
         words = self.model.get_vocab(with_added_tokens=False)
         self.bytes_of = [b""] * (max(words.values()) + 1)
@@ -95,15 +99,31 @@ class Codec:
                     self.led, self.bare, self.watched = {}, {}, False
                     return
 
+    def _ids(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of each piece (in the characters of the vocabulary), many pieces to a call of the library."""
+        lists = [pieces[at : at + 512] for at in range(0, len(pieces), 512)]
+        for own, e in zip(lists, self.model.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            cut = (4 * (np.searchsorted(np.cumsum(self.length_of[ids]), ends) + 1)).tolist()
+            data = ids.astype("<u4").tobytes()
+            yield from [data[a:b] for a, b in zip([0, *cut], cut)]
+
+    def _named(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.chars)
+
     def _learn(self, memory: dict[str, bytes], new: set[str], lead: str) -> None:
         if len(memory) + len(new) > CACHE:
             memory.clear()
+        begin = self._named(lead)
+        words = [name for name in new if name.isascii() and name.isalpha()]  # letters need no pattern: one piece each
+        memory.update(zip(words, self._ids([begin + name for name in words] if lead else words)))
         of_chunk: dict[str, tuple[str, ...] | list[str]] = {}
-        for name in new:  # letters, or letters and a mark, need no pattern
-            if name.isalpha() and max(name) < SURE:
-                of_chunk[name] = (lead + name,)
-            elif name[-1:] in MARKS and name[:-1].isalpha() and max(name) < SURE:
+        for name in new.difference(words):  # nor do letters and a mark
+            if name[-1:] in MARKS and name[:-1].isalpha() and (name.isascii() or max(name) < SURE):
                 of_chunk[name] = (lead + name[:-1], name[-1])
+            elif name.isalpha() and max(name) < SURE:
+                of_chunk[name] = (lead + name,)
             else:
                 of_chunk[name] = self.pieces(lead + name)
         at_lead = len(lead)
@@ -111,16 +131,9 @@ class Codec:
         if lead:
             known = {p: memory.get(p[at_lead:]) if p[0] == lead and len(p) > 1 else None for p in known}
         flat = [p for p, ids in known.items() if ids is None]
-        lists = [flat[at : at + 512] for at in range(0, len(flat), 512)]
-        for own, e in zip(lists, self.model.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, own)), np.int64, len(own)))
-            cut = np.searchsorted(np.cumsum(self.length_of[ids]), ends) + 1
-            data, at = ids.astype("<u4").tobytes(), 0
-            for p, to in zip(own, (4 * cut).tolist()):
-                known[p], at = data[at:to], to
+        known.update(zip(flat, self._ids(list(map(self._named, flat)))))
         for name, ps in of_chunk.items():
-            memory[name] = known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps))
+            memory[name] = known[ps[0]] + known[ps[1]] if len(ps) == 2 else b"".join(map(known.__getitem__, ps))
 
     def _spans(self, text: str) -> Iterator[str]:
         at = 0
@@ -132,16 +145,20 @@ class Codec:
             at = to.end()
         yield text[at:] if at else text
 
-    def _looked_up(self, memory: dict[str, bytes], chunks: list[str], lead: str) -> bytes:
+    def _found(self, memory: dict[str, bytes], chunks: list[str], lead: str) -> list[bytes]:
+        """The ids of each chunk; those that the memory does not hold are learned together."""
         if len(chunks) > CACHE:
-            return b"".join(self._looked_up(memory, chunks[at : at + CACHE], lead) for at in range(0, len(chunks), CACHE))
+            return [ids for at in range(0, len(chunks), CACHE) for ids in self._found(memory, chunks[at : at + CACHE], lead)]
         found = list(map(memory.get, chunks))
-        for _ in range(2):  # again if learning has emptied the memory: then these chunks fit
-            if None not in found:
-                break
-            self._learn(memory, set(chunks).difference(memory), lead)
-            found = list(map(memory.get, chunks))
-        return b"".join(found)
+        if None in found:
+            missing = [k for k, ids in enumerate(found) if ids is None]
+            self._learn(memory, {chunks[k] for k in missing}, lead)
+            for k in missing:
+                found[k] = memory[chunks[k]]
+        return found
+
+    def _looked_up(self, memory: dict[str, bytes], chunks: list[str], lead: str) -> bytes:
+        return b"".join(self._found(memory, chunks, lead))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""
@@ -155,11 +172,10 @@ class Codec:
                 self.used = time.monotonic()
 
     def _encode_all(self, texts: list[str | None]) -> list[bytes]:
-        plain = [(text or "").split(" ") if len(text or "") <= SPAN and not re.search(r"\s \s|\s $", text or "") and not self._has_special(text or "") else None for text in texts]
-        unseen = set().union(*[set(words[1:]).difference(self.led) for words in plain if words])
-        if 0 < len(unseen) <= CACHE - len(self.led):  # what is new in all of them goes to the library at once
-            self._learn(self.led, unseen, " ")
-        return [self.encode(text) if words is None else self._looked_up(self.bare, [words[0]], "") + self._looked_up(self.led, words[1:], " ") for text, words in zip(texts, plain)]
+        plain = [(text or "").split(" ") if len(text or "") <= SPAN and not TORN(text or "") and not self._has_special(text or "") else None for text in texts]
+        first = iter(self._found(self.bare, [words[0] for words in plain if words], ""))
+        rest = iter(self._found(self.led, [word for words in plain if words for word in words[1:]], " "))
+        return [self.encode(text) if words is None else next(first) + b"".join(islice(rest, len(words) - 1)) for text, words in zip(texts, plain)]
 
     def _has_special(self, text: str) -> bool:
         return any(s in text for s in self.special)
@@ -170,7 +186,7 @@ class Codec:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for span in self._spans(text or ""):
-            if re.search(r"\s \s|\s $", span):  # a run of white space that a cut at its blanks would tear
+            if TORN(span):
                 out.append(self._looked_up(self.bare, self.pieces(span), ""))
             else:
                 first, *rest = span.split(" ")

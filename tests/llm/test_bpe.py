@@ -76,3 +76,18 @@ def test_an_idle_worker_forgets_and_learns_again(plain, monkeypatch):
         time.sleep(0.1)
     assert not own.led and not own.bare
     assert own.encode_all(texts) == first and own.led
+
+
+def test_what_is_new_in_many_texts_goes_to_the_library_at_once(plain, monkeypatch):
+    own, calls = bpe.Codec(RANKS), []
+    texts = [f"Begin{chr(97 + i % 26) * (1 + i // 26)}, word{chr(97 + i % 26)} naïve\nlines  and 日本 {i}" for i in range(120)]
+
+    class Counted:
+        def encode_batch_fast(self, *args, **kwargs):
+            calls.append(1)
+            return model.encode_batch_fast(*args, **kwargs)
+
+    model, own.model = own.model, Counted()
+    assert [own.decode(i) for i in own.encode_all(texts)] == texts
+    assert len(calls) <= 4
+    assert [list(memoryview(i).cast("I")) for i in own.encode_all(texts)] == [plain.encode_ordinary(t) for t in texts]
