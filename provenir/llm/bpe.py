@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding and decoding over Arrow batches with the tokenizers library.
 
-Texts are cut where a white-space run begins (no match of the pattern crosses that), the chunks
-are looked up in a bounded cache, and only the pieces of unseen chunks go to the library, many at a
+Numpy finds where the pattern of the vocabularies cuts many texts, Arrow numbers the different pieces,
+each of these is looked up once in a bounded cache, and only unseen ones go to the library, many at a
 time. Which ids belong to which piece follows from the byte lengths of the tokens.
 """
 
@@ -15,10 +15,10 @@ import threading
 import time
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +26,14 @@ from .common import table
 
 #: The pattern of the public byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Marks that stand for themselves behind letters.
-MARKS = frozenset(".,;:!?)")
-#: Below this character str.isalpha and the pattern agree on what a letter is in all versions.
-SURE = "\u0530"
-#: Finds a run of white space that a cut at its blanks would tear.
-TORN = re.compile(r"\s (?:\s|$)").search
-#: Chunks that a worker remembers; beyond it the memory starts anew.
+#: What the pattern tells apart; everything else is OTHER.
+OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Pieces that a worker remembers; beyond it the memory starts anew.
 CACHE = 1_200_000
 #: Seconds after which a worker that encodes no more lets go of its memory (it is used again for other work).
 IDLE = 10
-#: Texts that are encoded together.
-AT_ONCE = 128
+#: Bytes of text that are encoded together.
+AT_ONCE = 4 << 20
 #: Characters of a text that are handled at a time.
 SPAN = 1 << 20
 
@@ -49,6 +45,57 @@ def byte_table() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """LETTER, NUMBER, SPACE or OTHER for each code point."""
+    import regex
+
+    every, out = "".join(map(chr, range(0x110000))), np.full(0x110000, OTHER, np.uint8)
+    for kind, of in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(of, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def cuts(text: bytes, ends: np.ndarray) -> np.ndarray:
+    """Where the matches of PATTERN begin in texts that stand one behind another (as UTF-8), and the end of all.
+
+    ``ends``: where each text begins, and the end of all.
+    """
+    n, data = len(text), np.frombuffer(text + b"\0\0", np.uint8)
+    kind = np.frombuffer(bytearray(text.translate(kinds()[:256].tobytes())), np.uint8)
+    beyond = np.flatnonzero(data >= 0x80)
+    lead = beyond[data[beyond] >= 0xC0]
+    if len(lead):  # the bytes of a character are of its kind
+        first = data[lead]
+        length = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = (first & np.array([0, 0, 0x1F, 0x0F, 0x07], np.uint8)[length]).astype(np.int32)
+        for k in (1, 2, 3):
+            more = np.flatnonzero(length > k)
+            code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+        kind[beyond] = np.repeat(kinds()[code], length)
+    own = np.zeros(n + 3, bool)  # where a text begins
+    own[ends] = True
+    space, blank = kind == SPACE, data[:n] == 0x20
+    cut = np.zeros(n + 1, bool)
+    cut[1:n] = (kind[1:] != kind[:-1]) & (space[1:] | ~blank[:-1])  # one blank goes with what follows it
+    last = np.zeros(n + 1, bool)  # of a run of white space before something else: it stands alone
+    last[1:n] = space[:-1] & ~space[1:] & ~own[1:n]
+    last = last[1:]
+    wide = beyond[last[beyond]]  # where its last byte is not its first
+    last[wide] = False
+    last[lead[np.searchsorted(lead, wide, "right") - 1]] = True
+    cut[:n] |= last
+    quote = np.flatnonzero(data[:n] == 0x27)
+    quote = quote[own[quote] | (kind[quote - 1] != OTHER) & ~blank[quote - 1]]
+    quote = quote[~own[quote + 1]]
+    after, second = data[quote + 1], data[quote + 2]
+    short = quote[np.isin(after, list(b"stmd"))]
+    long = quote[((after == 0x6C) & (second == 0x6C) | np.isin(after, list(b"rv")) & (second == 0x65)) & ~own[quote + 2]]
+    cut[short + 1], cut[short + 2], cut[long + 1], cut[long + 3] = False, True, False, True
+    return np.flatnonzero(cut | own[: n + 1])
+
+
 def _from_ranks(path: str):
     """A tokenizers model from a file of ranks: every way to put a token together is a merge."""
     from tokenizers import Tokenizer, models
@@ -66,13 +113,13 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path) if path.endswith(".json") else _from_ranks(path)
         #: A file of ranks has no special tokens; with those of a JSON file the whole text goes to the library as it stands.
         self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
         self.whole = Tokenizer.from_file(path) if self.special else None
+        self.apart = "|".join(map(re.escape, self.special))
         self.model.encode_special_tokens = True
         self.model.pre_tokenizer = None  # pieces go to it in the characters of the vocabulary, one a byte
         self.chars = dict(enumerate(byte_table()))
@@ -85,18 +132,17 @@ class Codec:
             self.bytes_of += [b""] * (i + 1 - len(self.bytes_of))
             self.bytes_of[i] = word.encode()
         self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.pieces = regex.compile(PATTERN).findall
-        self.led: dict[str, bytes] = {}  # what follows a blank, to the ids of blank and all
-        self.bare: dict[str, bytes] = {}  # chunks as they stand
+        self.led = self.bare = {}  # pieces to their ids (one memory under both names)
         self.lock, self.used, self.watched = threading.Lock(), 0.0, False
 
     def _watch(self) -> None:
-        """Forget the chunks once nothing has been encoded for a while."""
+        """Forget the pieces once nothing has been encoded for a while."""
         while True:
             time.sleep(IDLE / 2)
             with self.lock:
                 if time.monotonic() - self.used > IDLE:
-                    self.led, self.bare, self.watched = {}, {}, False
+                    self.led = self.bare = {}
+                    self.watched = False
                     return
 
     def _ids(self, pieces: list[str]) -> Iterator[bytes]:
@@ -112,28 +158,10 @@ class Codec:
     def _named(self, piece: str) -> str:
         return piece.encode().decode("latin-1").translate(self.chars)
 
-    def _learn(self, memory: dict[str, bytes], new: set[str], lead: str) -> None:
-        if len(memory) + len(new) > CACHE:
-            memory.clear()
-        begin = self._named(lead)
-        words = [name for name in new if name.isascii() and name.isalpha()]  # letters need no pattern: one piece each
-        memory.update(zip(words, self._ids([begin + name for name in words] if lead else words)))
-        of_chunk: dict[str, tuple[str, ...] | list[str]] = {}
-        for name in new.difference(words):  # nor do letters and a mark
-            if name[-1:] in MARKS and name[:-1].isalpha() and (name.isascii() or max(name) < SURE):
-                of_chunk[name] = (lead + name[:-1], name[-1])
-            elif name.isalpha() and max(name) < SURE:
-                of_chunk[name] = (lead + name,)
-            else:
-                of_chunk[name] = self.pieces(lead + name)
-        at_lead = len(lead)
-        known: dict[str, bytes | None] = dict.fromkeys(p for ps in of_chunk.values() for p in ps)
-        if lead:
-            known = {p: memory.get(p[at_lead:]) if p[0] == lead and len(p) > 1 else None for p in known}
-        flat = [p for p, ids in known.items() if ids is None]
-        known.update(zip(flat, self._ids(list(map(self._named, flat)))))
-        for name, ps in of_chunk.items():
-            memory[name] = known[ps[0]] + known[ps[1]] if len(ps) == 2 else b"".join(map(known.__getitem__, ps))
+    def _learn(self, new: list[str]) -> None:
+        if len(self.led) + len(new) > CACHE:
+            self.led.clear()
+        self.led.update(zip(new, self._ids([p.replace(" ", self.chars[0x20]) if p.isascii() and p.isprintable() else self._named(p) for p in new])))
 
     def _spans(self, text: str) -> Iterator[str]:
         at = 0
@@ -145,23 +173,20 @@ class Codec:
             at = to.end()
         yield text[at:] if at else text
 
-    def _found(self, memory: dict[str, bytes], chunks: list[str], lead: str) -> list[bytes]:
-        """The ids of each chunk; those that the memory does not hold are learned together."""
-        if len(chunks) > CACHE:
-            return [ids for at in range(0, len(chunks), CACHE) for ids in self._found(memory, chunks[at : at + CACHE], lead)]
-        found = list(map(memory.get, chunks))
-        if None in found:
-            missing = [k for k, ids in enumerate(found) if ids is None]
-            self._learn(memory, {chunks[k] for k in missing}, lead)
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of these (different) pieces; those that the memory does not hold are learned together."""
+        if len(pieces) > CACHE:
+            return [ids for at in range(0, len(pieces), CACHE) for ids in self._found(pieces[at : at + CACHE])]
+        found = list(map(self.led.get, pieces))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            self._learn([pieces[k] for k in missing])
             for k in missing:
-                found[k] = memory[chunks[k]]
+                found[k] = self.led[pieces[k]]
         return found
 
-    def _looked_up(self, memory: dict[str, bytes], chunks: list[str], lead: str) -> bytes:
-        return b"".join(self._found(memory, chunks, lead))
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text as little-endian unsigned 32-bit integers."""
+    def encode_all(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each whole text as little-endian unsigned 32-bit integers; ``parts`` bounds what is given at a time."""
         with self.lock:
             if not self.watched:
                 self.watched = True
@@ -171,11 +196,27 @@ class Codec:
             finally:
                 self.used = time.monotonic()
 
-    def _encode_all(self, texts: list[str | None]) -> list[bytes]:
-        plain = [(text or "").split(" ") if len(text or "") <= SPAN and not TORN(text or "") and not self._has_special(text or "") else None for text in texts]
-        first = iter(self._found(self.bare, [words[0] for words in plain if words], ""))
-        rest = iter(self._found(self.led, [word for words in plain if words for word in words[1:]], " "))
-        return [self.encode(text) if words is None else next(first) + b"".join(islice(rest, len(words) - 1)) for text, words in zip(texts, plain)]
+    def _encode_all(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        apart = pc.greater(pc.binary_length(texts), SPAN)
+        if self.special:
+            apart = pc.or_(apart, pc.match_substring_regex(texts, self.apart))
+        plain = iter(self._pieced(texts.filter(pc.invert(apart))))
+        return [self.encode(texts[k].as_py()) if alone else next(plain) for k, alone in enumerate(apart.to_pylist())]
+
+    def _pieced(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts without special tokens: each different piece is looked up once, Arrow puts them in their places."""
+        texts = texts.cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = bytes(memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]])
+        ends = ends - ends[0]
+        at = cuts(data, ends)
+        pieces = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+        found = self._found(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(found, pa.large_binary()).take(pieces.indices)
+        stops = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(at, ends)].tolist() if len(ids) else [0] * len(ends)
+        out = memoryview(ids.buffers()[2] or b"")
+        return [bytes(out[a:b]) for a, b in zip(stops, stops[1:])]
 
     def _has_special(self, text: str) -> bool:
         return any(s in text for s in self.special)
@@ -184,14 +225,7 @@ class Codec:
         """The ids of the whole text as little-endian unsigned 32-bit integers."""
         if self._has_special(text or ""):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for span in self._spans(text or ""):
-            if TORN(span):
-                out.append(self._looked_up(self.bare, self.pieces(span), ""))
-            else:
-                first, *rest = span.split(" ")
-                out += [self._looked_up(self.bare, [first], ""), self._looked_up(self.led, rest, " ")]
-        return b"".join(out)
+        return b"".join(ids for span in self._spans(text or "") for ids in self._pieced(pa.array([span], pa.string())))
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -215,6 +249,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of (id, text) with about AT_ONCE bytes of text each, one row at least."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), dtype=np.int64)
+    at = [0, *(np.flatnonzero(np.diff(size // AT_ONCE)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(at, at[1:]) if b > a)
+
+
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids binary, offsets binary): ids and (start, end) character offsets, both as little-endian 32-bit integers.
 
@@ -224,10 +265,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
+            for part in parts(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = own.encode_all(texts)
+                ids = own.encode_all(part.column(1))
                 places = [own.offsets(t, i).astype("<i4").tobytes() for t, i in zip(texts, ids)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(places, pa.binary())], ["doc_id", "ids", "offsets"])
 
@@ -255,10 +295,9 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
+            for part in parts(batch):
                 n, a, b = [], [], []
-                for ids in own.encode_all(part.column(1).to_pylist()):
+                for ids in own.encode_all(part.column(1)):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())

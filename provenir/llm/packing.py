@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import AT_ONCE, codec
+from .bpe import codec, parts
 from .common import stored, table
 
 CAPACITY = 2048
@@ -147,10 +147,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
         own, part, seen = codec(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for low in range(0, batch.num_rows, AT_ONCE):
+            for part_of in parts(batch):
                 rows: list[list] = [[] for _ in range(6)]
-                part_of = batch.slice(low, AT_ONCE)
-                for i, ids in zip(part_of.column(0).to_pylist(), own.encode_all(part_of.column(1).to_pylist())):
+                for i, ids in zip(part_of.column(0).to_pylist(), own.encode_all(part_of.column(1))):
                     ids += end
                     n = len(ids) // 4
                     first = n % capacity or capacity

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import AT_ONCE, codec
+from .bpe import codec, parts
 from .common import fresh_dir, table
 
 #: Bytes of text behind a file, bytes of a row group and of a page, rows of a page, ids of a dictionary page.
@@ -55,9 +55,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end: int | None = END,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, at = codec(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, AT_ONCE):
-                some = batch.slice(k, AT_ONCE)
-                ids = [i + tail for i in own.encode_all(some.column(1).to_pylist())]
+            for some in parts(batch):
+                ids = [i + tail for i in own.encode_all(some.column(1))]
                 ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), lists], ["doc_id", "part", "place", "n_tokens", "ids"])

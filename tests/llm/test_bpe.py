@@ -91,3 +91,43 @@ def test_what_is_new_in_many_texts_goes_to_the_library_at_once(plain, monkeypatc
     assert [own.decode(i) for i in own.encode_all(texts)] == texts
     assert len(calls) <= 4
     assert [list(memoryview(i).cast("I")) for i in own.encode_all(texts)] == [plain.encode_ordinary(t) for t in texts]
+
+
+def test_cuts_are_those_of_the_pattern():
+    import numpy as np
+    import regex
+
+    rnd, matches = random.Random(11), regex.compile(bpe.PATTERN).findall
+    parts = ["a", "B", "sev", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "　", " ", "​", "é", "ß", "×", "ª", "²", "½", "日本", "😀", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "'r", "'S", "1", "٣", "_", "́", "\U00010400", "."]
+    for _ in range(4000):
+        texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 8))) for _ in range(rnd.randint(0, 4))]
+        pieces = [(p.encode(), k) for k, t in enumerate(texts) for p in matches(t)]
+        ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        want = sorted({*np.cumsum([0, *(len(p) for p, _ in pieces)]).tolist(), *ends.tolist()})
+        assert bpe.cuts("".join(texts).encode(), ends).tolist() == want, texts
+
+
+def test_a_piece_that_stands_often_is_looked_up_once(plain):
+    own, asked = bpe.Codec(RANKS), []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    own.led = own.bare = Counted()
+    texts = ["one word, and\none word. " * 40 + f"it's {i}" for i in range(50)]
+    assert [list(memoryview(i).cast("I")) for i in own.encode_all(texts)] == [plain.encode_ordinary(t) for t in texts]
+    assert len(asked) == len(set(asked)) < 70
+
+
+def test_parts_are_bounded_and_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "AT_ONCE", 10)
+    texts = ["x" * 25, None, "", "seven", "y" * 6, "z", None, "w" * 9]
+    batch = pa.record_batch([pa.array(range(10, 18)), pa.array(texts)], ["doc_id", "text"])
+    for own in (batch, batch.slice(2), batch.slice(3, 2), batch.slice(0, 0)):
+        got = list(bpe.parts(own))
+        assert [t for p in got for t in p.column(1).to_pylist()] == own.column(1).to_pylist()
+        assert all(sum(len(t or "") for t in p.column(1).to_pylist()[1:]) < 10 for p in got)
