@@ -54,12 +54,12 @@ def j07(t):
 
 
 @query("j08_titles_in_text", """
-WITH t AS (SELECT DISTINCT lower(split_part(text, chr(10), 1)) AS title FROM documents WHERE length(split_part(text, chr(10), 1)) BETWEEN 12 AND 120), d AS (SELECT doc_id, lower(text) AS x FROM documents)
+WITH t AS (SELECT DISTINCT lower(split_part(text, chr(10), 1)) AS title FROM documents WHERE length(split_part(text, chr(10), 1)) >= 12), d AS (SELECT doc_id, lower(text) AS x FROM documents)
 SELECT title, count(*) AS documents FROM t JOIN d ON contains(x, title) GROUP BY title""")
 def j08(t):
     """First lines of twelve characters or more as titles, and how many texts hold each: one pass over the texts for all titles."""
-    line = F.lower(F.split_part("text", F.lit("\n"), F.lit(1)))
-    titles = t("documents").select(line.alias("title")).where(F.char_length("title").between(12, 120)).distinct()
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    titles = t("documents").where(F.char_length(line) >= 12).select(F.lower(line).alias("title")).distinct()
     hits = H.phrase_hits(t("documents").select("doc_id", F.lower("text").alias("text")), titles, pattern_id="title", phrase="title")
     return hits.groupBy("title").agg(F.count(F.lit(1)).alias("documents"))
 
