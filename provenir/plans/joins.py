@@ -57,7 +57,7 @@ def j07(t):
 WITH t AS (SELECT DISTINCT lower(split_part(text, chr(10), 1)) AS title FROM documents WHERE length(split_part(text, chr(10), 1)) >= 12), d AS (SELECT doc_id, lower(text) AS x FROM documents)
 SELECT title, count(*) AS documents FROM t JOIN d ON contains(x, title) GROUP BY title""")
 def j08(t):
-    """First lines of twelve characters or more as titles, and how many texts hold each: a pass over the texts for a million titles."""
+    """First lines of twelve characters or more as titles, and how many texts hold each: a pass over the texts for each two million titles."""
     line = F.substring_index("text", "\n", 1)
     titles = t("documents").where(F.char_length(line) >= 12).select(F.lower(line).alias("title")).distinct()
     return H.texts_that_hold(t("documents").select(F.lower("text").alias("text")), titles, phrase="title", n="documents")
